@@ -20,5 +20,34 @@ items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op3_revisit_resolution": r"""
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS dg, '"' || md5(coalesce(html, '')) || '"' AS tag, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages
+), parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(bare, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)'))) AS kept
+  FROM p
+), named AS (
+  SELECT page_id, dg, tag, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM parts
+), resp AS (SELECT page_id * 2 AS id, canonical_url, page_id * 10 AS ts, dg, tag, page_id FROM named),
+rev AS (
+  SELECT page_id * 2 + 1 AS id, canonical_url, page_id * 10 + 5 + ((page_id * 37) % 5000) * 10 AS ts,
+    CASE WHEN page_id % 7 < 5 THEN 'W/' || tag WHEN page_id % 7 = 5 THEN '"stale"' END AS validator
+  FROM named
+), found AS (
+  SELECT rev.id, rev.canonical_url, rev.ts, validator, resp.id AS oid, resp.ts AS ots, resp.dg, resp.tag, resp.page_id,
+    row_number() OVER (PARTITION BY rev.id ORDER BY resp.ts DESC, resp.id DESC) AS k
+  FROM rev LEFT JOIN resp ON rev.canonical_url = resp.canonical_url AND resp.ts < rev.ts
+), judged AS (
+  SELECT *, CASE WHEN canonical_url IS NULL THEN 'no_url' WHEN oid IS NULL THEN 'no_original' WHEN validator IS NULL OR regexp_replace(validator, '^W/', '') = tag THEN 'resolved' ELSE 'validator_mismatch' END AS status
+  FROM found WHERE k = 1
+)
+SELECT id AS record_id, canonical_url, ts, status, CASE WHEN status = 'resolved' THEN oid END AS original_id, CASE WHEN status = 'resolved' THEN ots END AS original_ts,
+  CASE WHEN status = 'resolved' THEN dg END AS digest,
+  CASE WHEN status = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(validator, tag) || chr(10) || 'last-modified: day ' || (page_id // 100)
+  ELSE 'content-type: none' || chr(10) || 'date: ' || ts || chr(10) || coalesce('etag: ' || validator || chr(10), '') || 'set-cookie: no' END AS headers
+FROM judged
 """,
 }
