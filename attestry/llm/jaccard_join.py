@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.llm import _text
 from attestry.llm._components import components
@@ -117,19 +118,18 @@ def _loads(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(np.round(8 * np.log2(out + 1.0)), 255).astype(np.uint8)
 
 
-def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, sid and n_shingles of every row."""
+def _sketch(docs: DataFrame, n: int, sid: str = "sid", size: str = "n_shingles") -> DataFrame:
+    """docs with the set's number and size for every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sids, sizes = [], []
-            for _row, _end, buf, offs in _text.text_slices(batch.column("text")):
-                for s in sets_of(buf, offs, n):
-                    sids.append(set_id(s))
-                    sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "sid", "n_shingles"])
+    def make(batch: pa.RecordBatch) -> list:
+        sids, sizes = [], []
+        for _row, _end, buf, offs in _text.text_slices(batch.column("text")):
+            for s in sets_of(buf, offs, n):
+                sids.append(set_id(s))
+                sizes.append(len(s))
+        return [pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())]
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, n_shingles long")
+    return _text.append_arrow(docs, T.StructType([T.StructField(sid, T.LongType()), T.StructField(size, T.LongType())]), make)
 
 
 def _tiles(docs: DataFrame, loads, n: int, percent: int, shards: int) -> DataFrame:
@@ -248,13 +248,13 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shards: int | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least id that the row's document reaches by links) for each row of docs."""
+    """doc_id, n_shingles, component_id (the least id that the row's document reaches by links) and sid (equal for equal sets) for each row of docs."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     if shards is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    sketch = _text.cut(_sketch(docs, words))
+    sketch = _text.cut(_sketch(docs, words).select("doc_id", "sid", "n_shingles"))
     members = sketch.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     tiles = _text.cut(_tiles(docs, spark.sparkContext.broadcast(_loads(docs, words)), words, percent, shards))
     sets = _text.cut(_sets(docs, tiles.select("sid").distinct().join(members, "sid"), words))
@@ -282,5 +282,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = members.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(least, "component").select("sid", "component_id")
-    full = sketch.filter("n_shingles > 0").join(ids, "sid", "left").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    full = sketch.filter("n_shingles > 0").join(ids, "sid", "left").select("doc_id", "n_shingles", "component_id", "sid")
+    return full.unionByName(sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sid"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: that of least id (then of least sid); rows with an empty set all stay."""
+    found = jaccard_components(docs, words, percent).filter("n_shingles > 0")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "sid")).alias("_k")).select(F.col("_k.doc_id").alias("_kept_id"), F.col("_k.sid").alias("_kept_sid"))
+    rows = _sketch(docs, words, "_sid", "_n")
+    full = rows.filter("_n > 0").join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sid") == F.col("_kept_sid")), "left_semi").dropDuplicates(["doc_id", "_sid"])
+    return full.unionByName(rows.filter("_n = 0")).select(docs.columns)

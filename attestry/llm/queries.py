@@ -19,7 +19,7 @@ def tokenizer_path() -> str:
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestry.llm.jaccard_join import jaccard_components
 
-    return jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard_components(read(spark, sf_dir, "documents")).drop("sid")
 
 
 def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

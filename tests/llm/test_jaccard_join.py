@@ -62,13 +62,13 @@ def corpus(seed, groups=14, copies=7):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_brute_force(spark, seed):
     docs = corpus(seed)
-    got = J.jaccard_components(spark.createDataFrame([(d, t, "c", 1, 2) for d, t in docs], SCHEMA).repartition(3), shards=5).collect()
+    got = J.jaccard_components(spark.createDataFrame([(d, t, "c", 1, 2) for d, t in docs], SCHEMA).repartition(3), shards=5).drop("sid").collect()
     assert sorted(map(tuple, got)) == brute(docs)
 
 
 def test_repeated_rows_and_ids(spark):
     docs = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words"), (0, "A b c d e f G"), (7, "other  words")]
-    got = J.jaccard_components(spark.createDataFrame([(d, t, "c", 1, 2) for d, t in docs], SCHEMA)).collect()
+    got = J.jaccard_components(spark.createDataFrame([(d, t, "c", 1, 2) for d, t in docs], SCHEMA)).drop("sid").collect()
     assert sorted(map(tuple, got)) == [(0, 3, 0), (1, 1, 1), (1, 3, 0), (1, 3, 0), (7, 1, 1)]
 
 
@@ -98,3 +98,11 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 5), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 5: 5, 9: 5}
+
+
+def test_keep_one(spark):
+    docs = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words"), (0, "A b c d e f G"), (7, "other  words"), (8, None), (8, None), (9, "")]
+    frame = spark.createDataFrame([(d, t, "c", 1, 2) for d, t in docs], SCHEMA)
+    kept = J.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in kept.fillna("", "text").collect()) == [(0, "A b c d e f G"), (1, "other words"), (8, ""), (8, ""), (9, "")]
