@@ -63,8 +63,17 @@ def bit_hash_pairs(vectors: DataFrame, mean_bits: int = 6, difference_bits: int
     The mean hash is cut into mean_bits + 1 slices; two hashes that near agree
     in one slice, so candidates come from an equality join on slices.
     """
-    limit = mean_bits + 2 if difference_bits is None else difference_bits
-    hashed = vectors.select("sample_id", "vector", C.mean_hash(F.col("vector")).alias("p"), C.difference_hash(F.col("vector")).alias("d"))
+    pairs = _hash_pairs(vectors, mean_bits, mean_bits + 2 if difference_bits is None else difference_bits)
+    for s in "ab":
+        pairs = pairs.join(vectors.select(F.col("sample_id").alias(f"{s}_id"), F.col("vector").alias(f"{s}_v")), f"{s}_id")
+    ssim, mae = C.ssim(F.col("a_v"), F.col("b_v")), C.mean_absolute_error(F.col("a_v"), F.col("b_v"))
+    return pairs.select("a_id", "b_id", "mean_distance", "difference_distance", F.round(ssim, 4).alias("ssim"), F.round(mae, 4).alias("mae"), F.round(0.7 * ssim + 0.3 * (1 - mae), 4).alias("similarity"))
+
+
+def _hash_pairs(vectors: DataFrame, mean_bits: int, difference_bits: int) -> DataFrame:
+    """a_id, b_id and both distances of the pairs within both limits."""
+    # dealt by id, so that the hashes are worked out once and not again in every expression that uses them
+    hashed = vectors.select("sample_id", C.mean_hash(F.col("vector")).alias("p"), C.difference_hash(F.col("vector")).alias("d")).repartition("sample_id")
     edges = [64 * i // (mean_bits + 1) for i in range(mean_bits + 2)]
     cuts = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("p"), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("part")) for i in range(mean_bits + 1)))
     banded = hashed.select("sample_id", "p", "d", F.explode(cuts).alias("c")).select("sample_id", "p", "d", "c.*")
@@ -73,13 +82,9 @@ def bit_hash_pairs(vectors: DataFrame, mean_bits: int = 6, difference_bits: int
     for i in range(mean_bits):  # each pair once: at the first slice that it shares
         same = F.shiftrightunsigned(F.col("a_p").bitwiseXOR(F.col("b_p")), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) == 0
         first_shared = first_shared & ~((F.col("band") > i) & same)
-    near = (F.col("a_id") < F.col("b_id")) & (C.hamming(F.col("a_p"), F.col("b_p")) <= mean_bits) & (C.hamming(F.col("a_d"), F.col("b_d")) <= limit)
+    near = (F.col("a_id") < F.col("b_id")) & (C.hamming(F.col("a_p"), F.col("b_p")) <= mean_bits) & (C.hamming(F.col("a_d"), F.col("b_d")) <= difference_bits)
     pairs = left.join(right, ["band", "part"]).filter(near & first_shared)
-    pairs = pairs.select("a_id", "b_id", C.hamming(F.col("a_p"), F.col("b_p")).alias("mean_distance"), C.hamming(F.col("a_d"), F.col("b_d")).alias("difference_distance"))
-    for s in "ab":
-        pairs = pairs.join(vectors.select(F.col("sample_id").alias(f"{s}_id"), F.col("vector").alias(f"{s}_v")), f"{s}_id")
-    ssim, mae = C.ssim(F.col("a_v"), F.col("b_v")), C.mean_absolute_error(F.col("a_v"), F.col("b_v"))
-    return pairs.select("a_id", "b_id", "mean_distance", "difference_distance", F.round(ssim, 4).alias("ssim"), F.round(mae, 4).alias("mae"), F.round(0.7 * ssim + 0.3 * (1 - mae), 4).alias("similarity"))
+    return pairs.select("a_id", "b_id", C.hamming(F.col("a_p"), F.col("b_p")).alias("mean_distance"), C.hamming(F.col("a_d"), F.col("b_d")).alias("difference_distance"))
 
 
 def least_hash_distance(vectors: DataFrame, margin: float = 0.45, low: int = 4, high: int = 8) -> DataFrame:
@@ -88,9 +93,9 @@ def least_hash_distance(vectors: DataFrame, margin: float = 0.45, low: int = 4,
     Looks for the least number of bits at which the banded join finds a pair,
     doubling it, so no pair beyond the nearest ones is ever made.
     """
-    bits = 2
+    bits = 8
     while True:
-        found = bit_hash_pairs(vectors, bits, 64).agg(F.min("mean_distance").alias("least")).first().least
+        found = _hash_pairs(vectors, bits, 64).agg(F.min("mean_distance").alias("least")).first().least
         if found is not None or bits >= 32:
             break
         bits = min(32, bits * 2)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from attestry.plans import data, integrity, models
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data.QUERIES, **integrity.QUERIES, **models.QUERIES}
+ORACLES: dict[str, str] = {**data.ORACLES, **integrity.ORACLES, **models.ORACLES}
 FLAGSHIP = "disposition"
