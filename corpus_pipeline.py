@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from attestry.llm import _text, decontaminate, jaccard_join, language, pack, toxicity
 from attestry.llm.queries import tokenizer_path
 
-#: Language scores below this are no prose of any learned language (a cosine of 0.1).
-MIN_LANGUAGE_SCORE = 0.55
+#: Language scores below this are no text of any learned language (a negative cosine).
+MIN_LANGUAGE_SCORE = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
