@@ -148,4 +148,4 @@ def injected_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = reduce(DataFrame.unionByName, [generators.inject(v, f, name, 0.2).filter("is_attacked") for name, f in attacks.items()])
     numbered = made.withColumn("sample_id", F.xxhash64("sample_id", "attack_type"))
     found = triggers.cascade(numbered).select("sample_id", "family")
-    return numbered.join(found, "sample_id").groupBy("attack_type").agg(F.count("*").alias("samples"), F.count_if("family <> 'none'").alias("named"))
+    return numbered.join(found, "sample_id").groupBy("attack_type").agg(F.count("*").alias("samples"), F.count_if(F.col("family") != "none").alias("named"))
