@@ -248,7 +248,7 @@ def test_predictor_failures_cost_one_sample(spark):
 
 def test_model_digests(spark, tmp_path):
     (tmp_path / "m.safetensors").write_bytes(b"abc")
-    (tmp_path / "x.bin").write_bytes(b"")
+    (tmp_path / "x.bin").write_bytes(b"x")
     got = {r.path.rsplit("/")[-1]: r for r in model.artefact_digests(spark, str(tmp_path)).collect()}
     assert got["m.safetensors"].format == "pytorch_pt" and got["m.safetensors"].sha256 == hashlib.sha256(b"abc").hexdigest() and got["x.bin"].format is None
 
