@@ -76,7 +76,7 @@ def margins(vectors: DataFrame, suggested: DataFrame) -> DataFrame:
     other = classes.select(F.col("label").alias("suggested_label"), F.col("centroid").alias("suggested_c"), F.col("class_count").alias("suggested_count"))
     joined = suggested.join(vectors.select("sample_id", "vector"), "sample_id").join(given, "label").join(other, "suggested_label")
     a, b = C.euclidean(F.col("vector"), F.col("given_c")), C.euclidean(F.col("vector"), F.col("suggested_c"))
-    return joined.select("sample_id", "label", "suggested_label", "consensus", "given_count", "suggested_count", F.round(a, 4).alias("given_distance"), F.round(b, 4).alias("suggested_distance"), F.round(a - b, 4).alias("margin"))
+    return joined.select("sample_id", "label", "suggested_label", "consensus", "given_count", "suggested_count", F.round(a, 4).alias("given_distance"), F.round(b, 4).alias("suggested_distance"), (F.round(a - b, 4) + 0.0).alias("margin"))
 
 
 def mislabelled(vectors: DataFrame, k: int = 5, consensus_at: float = 0.6, high_at: float = 0.8, margin_at: float = 0.05, least_class: int = 5) -> DataFrame:

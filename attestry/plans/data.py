@@ -110,7 +110,7 @@ cn AS (SELECT label, n, list_transform(m, lambda e: e / (sqrt(list_dot_product(m
 """
 _MARGIN = """
 g AS (SELECT s.sample_id, s.label, suggested_label, consensus, a.n AS gn, b.n AS sn, list_distance(v.x, a.c) AS da, list_distance(v.x, b.c) AS db FROM s JOIN v ON s.sample_id = v.id JOIN cn a ON a.label = s.label JOIN cn b ON b.label = suggested_label),
-mg AS (SELECT sample_id, label, suggested_label, consensus, gn AS given_count, sn AS suggested_count, round(da, 4) AS given_distance, round(db, 4) AS suggested_distance, round(da - db, 4) AS margin FROM g)
+mg AS (SELECT sample_id, label, suggested_label, consensus, gn AS given_count, sn AS suggested_count, round(da, 4) AS given_distance, round(db, 4) AS suggested_distance, round(da - db, 4) + 0.0 AS margin FROM g)
 """
 _FLAGGED = """
 fl AS (SELECT sample_id, label, suggested_label, consensus, margin, CASE WHEN consensus >= 0.8 AND margin >= 0.05 THEN 'HIGH' WHEN consensus >= 0.6 OR margin >= 0.02 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
