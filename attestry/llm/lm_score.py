@@ -42,6 +42,8 @@ ORDER = 2
 #: Weight of the shorter history, in tokens; of 5 to 50,000 the best on held-out documents.
 MU = 2000.0
 BUCKET_BYTES = 8 << 20
+#: Of single tokens, and of longer n-grams.
+KEY_BYTES = (6, 5)
 
 _U = np.uint64
 _END, _BEGIN = _U(0x51ED270B4D2F6A10), _U(0x2545F4914F6CDD1C)
@@ -78,6 +80,8 @@ class Grams:
         begin = np.full(rows, _text.mix(np.array([_BEGIN]))[0] | odd, _U)  # one a row, as a history
         flat = np.concatenate([*keys, begin])
         self.keys, inverse = np.unique(flat, return_inverse=True)
+        odd_keys = (self.keys & odd) > 0
+        self.kinds = (np.flatnonzero(~odd_keys), np.flatnonzero(odd_keys))
         self.index = inverse[: len(tokens) * order].reshape(order, -1)
         self.begin = inverse[len(tokens) * order :]
         taught = np.concatenate([np.tile(self.train[self.row], order), self.train])
@@ -113,70 +117,88 @@ class Automaton:
         return out
 
 
-def _ask(order: int, shards: int):
-    def run(table: pa.Table) -> pa.Table:
-        grams = Grams(table, order)
-        bounds = _bounds(grams.keys, shards)
-        used = np.flatnonzero(np.diff(bounds))
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table(
-            {
-                "bucket": pa.array(np.full(len(used), bucket, np.int32)),
-                "shard": pa.array(used.astype(np.int32)),
-                "keys": pa.array([grams.keys[bounds[s] : bounds[s + 1]].tobytes() for s in used], pa.binary()),
-                "counts": pa.array([grams.counts[bounds[s] : bounds[s + 1]].astype("<u4").tobytes() for s in used], pa.binary()),
-            }
-        )
-
-    return run
+def _first_key(shard: int, shards: int) -> int:
+    return (shard << 64) // shards
 
 
 def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's range of keys begins in sorted keys."""
-    edges = np.array([(s << 64) // shards for s in range(1, shards)], _U)
+    edges = np.array([_first_key(s, shards) for s in range(1, shards)], _U)
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def _answer(buckets: int):
+def _pack_keys(keys: np.ndarray, shard: int, shards: int, size: int) -> bytes:
+    spare = max(0, ((1 << 64) // shards).bit_length() - 8 * size)
+    short = (keys - _U(_first_key(shard, shards))) >> _U(spare)
+    return np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _unpack_keys(raw: bytes, size: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // size, 8), np.uint8)
+    wide[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return wide.view("<u8").ravel()
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """One byte each; 255 stands for the next of the large counts that follow."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return small.tobytes() + counts[small == 255].astype("<u8").tobytes()
+
+
+def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=n).astype(np.int64)
+    return out
+
+
+_ASKED = "bucket int, shard int, keys1 binary, counts1 binary, keys2 binary, counts2 binary"
+_ANSWERED = "bucket int, shard int, others1 binary, others2 binary, tokens long, distinct long"
+
+
+def _ask(order: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
-        of = table.column("bucket").to_pylist()
-        keys = [np.frombuffer(x, _U) for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-        single = (distinct & _U(1)) == 0
-        n, v = int(total[single].sum()), int((total[single] > 0).sum())
-        asked: dict[int, tuple[bytes, bytes]] = {}
-        at = 0
-        for b, k, c in zip(of, keys, counts, strict=True):
-            others = total[inverse[at : at + len(k)]] - c
-            at += len(k)
-            some = others > 0
-            asked[b] = (k[some].tobytes(), others[some].tobytes())
-        none = (b"", b"")
-        return pa.table(
-            {
-                "bucket": pa.array(np.arange(buckets, dtype=np.int32)),
-                "keys": pa.array([asked.get(b, none)[0] for b in range(buckets)], pa.binary()),
-                "others": pa.array([asked.get(b, none)[1] for b in range(buckets)], pa.binary()),
-                "tokens": pa.array([n] * buckets, pa.int64()),
-                "kinds": pa.array([v] * buckets, pa.int64()),
-            }
-        )
+        grams = Grams(table, order)
+        out = {"bucket": pa.array(np.full(shards, table.column("bucket")[0].as_py(), np.int32)), "shard": pa.array(np.arange(shards, dtype=np.int32))}
+        for k, (at, size) in enumerate(zip(grams.kinds, KEY_BYTES, strict=True), 1):
+            keys, counts = grams.keys[at], grams.counts[at]
+            bounds = _bounds(keys, shards)
+            out[f"keys{k}"] = pa.array([_pack_keys(keys[bounds[s] : bounds[s + 1]], s, shards, size) for s in range(shards)], pa.binary())
+            out[f"counts{k}"] = pa.array([_pack_counts(counts[bounds[s] : bounds[s + 1]]) for s in range(shards)], pa.binary())
+        return pa.table(out)
 
     return run
 
 
-def _score(order: int):
+def _answer(table: pa.Table) -> pa.Table:
+    out = {"bucket": table.column("bucket"), "shard": table.column("shard")}
+    n = v = 0
+    for k, size in enumerate(KEY_BYTES, 1):
+        keys = [_unpack_keys(x, size) for x in table.column(f"keys{k}").to_pylist()]
+        counts = [_unpack_counts(x, len(y)) for x, y in zip(table.column(f"counts{k}").to_pylist(), keys, strict=True)]
+        flat = np.concatenate(counts)
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, weights=flat, minlength=len(distinct)).astype(np.int64)
+        if k == 1:
+            n, v = int(total.sum()), int((total > 0).sum())
+        others = total[inverse] - flat
+        ends = np.cumsum([len(c) for c in counts])
+        out[f"others{k}"] = pa.array([_pack_counts(x) for x in np.split(others, ends[:-1])], pa.binary())
+    out["tokens"] = pa.array(np.full(table.num_rows, n, np.int64))
+    out["distinct"] = pa.array(np.full(table.num_rows, v, np.int64))
+    return pa.table(out)
+
+
+def _score(order: int, shards: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         rows = docs.num_rows
         grams = Grams(docs, order)
         counts = grams.counts.copy()
-        for keys, others in zip(answers.column("keys").to_pylist(), answers.column("others").to_pylist(), strict=True):
-            if keys:
-                counts[np.searchsorted(grams.keys, np.frombuffer(keys, _U))] += np.frombuffer(others, np.int64)
+        for k, at in enumerate(grams.kinds, 1):
+            bounds = _bounds(grams.keys[at], shards)
+            for s, raw in zip(answers.column("shard").to_pylist(), answers.column(f"others{k}").to_pylist(), strict=True):
+                counts[at[bounds[s] : bounds[s + 1]]] += _unpack_counts(raw, int(bounds[s + 1] - bounds[s]))
         n = sum(answers.column("tokens").to_pylist())
-        base, score = Automaton(grams, counts, n, sum(answers.column("kinds").to_pylist())).traverse()
+        base, score = Automaton(grams, counts, n, sum(answers.column("distinct").to_pylist())).traverse()
         known = counts[grams.index[0]] > 0
         per_row = [np.add.reduceat(x, grams.first) if rows else np.zeros(0) for x in (base, score, known.astype(np.int64))]
         return pa.table(
@@ -186,8 +208,8 @@ def _score(order: int):
                 "n_tokens": pa.array(grams.length.astype(np.int64)),
                 "n_known": pa.array(per_row[2].astype(np.int64)),
                 "train_tokens": pa.array(np.full(rows, n, np.int64)),
-                "base_score": pa.array(per_row[0].astype(np.float64)),
-                "score": pa.array(per_row[1].astype(np.float64)),
+                "base_score": pa.array(np.round(per_row[0].astype(np.float64), 6)),
+                "score": pa.array(np.round(per_row[1].astype(np.float64), 6)),
             }
         )
 
@@ -201,6 +223,6 @@ def lm_scores(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -
         buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     marked = docs.select("doc_id", "text", held_out(5, 1).alias("held_out"))
     dealt = marked.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    asked = dealt.groupBy("bucket").applyInArrow(_ask(order, buckets), "bucket int, shard int, keys binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(_answer(buckets), "bucket int, keys binary, others binary, tokens long, kinds long")
-    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(order), SCORED)
+    asked = dealt.groupBy("bucket").applyInArrow(_ask(order, buckets), _ASKED)
+    answers = asked.groupBy("shard").applyInArrow(_answer, _ANSWERED)
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(order, buckets), SCORED)
