@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from attestry.llm._text import cut
 
 SAMPLES = 64
+LEAST = -(1 << 63)
 #: Bits of a component that the fingerprint keeps.
-KEPT_BITS = 16
+KEPT_BITS = 15
 
 
 def _uniform(h: Column, place: int) -> Column:
@@ -52,12 +53,12 @@ def _sample(k: int) -> Column:
 
 
 def components(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and components (array of int) of every row of texts (keys, text); keys must be unique. Rows without a word are missing."""
+    """keys and components (array of short) of every row of texts (keys, text); keys must be unique. Rows without a word are missing."""
     words = texts.select(*keys, F.explode(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")).alias("_word")).filter("_word <> ''")
     terms = words.groupBy(*keys, F.xxhash64("_word").alias("_term")).count().select(*keys, "_term", F.ln(F.col("count").cast("double")).alias("_log_w"))
     least = terms.groupBy(*keys).agg(*(F.min(_sample(k)).alias(f"_m{k}") for k in range(samples)))
     kept = (1 << KEPT_BITS) - 1
-    return least.select(*keys, F.array(*(F.col(f"_m{k}").bitwiseAND(F.lit(kept)).cast("int") for k in range(samples))).alias("components"))
+    return least.select(*keys, F.array(*(F.col(f"_m{k}").bitwiseAND(F.lit(kept)).cast("short") for k in range(samples))).alias("components"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -68,13 +69,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(c: Column, samples: int = SAMPLES) -> Column:
     """Components as hexadecimal digits."""
-    digits = KEPT_BITS // 4
+    digits = -(-KEPT_BITS // 4)
     return F.coalesce(F.array_join(F.transform(c, lambda x: F.lpad(F.lower(F.hex(x)), digits, "0")), ""), F.lit("0" * digits * samples))
 
 
 def _next_documents(keyed: DataFrame) -> DataFrame:
     """keyed (id, hash, n) with next_id and next_hash: the next row by id from the largest, the first row after the last."""
-    order = [F.col("id").desc_nulls_last(), F.col("hash").desc()]
+    order = [F.col("id").desc(), F.col("hash").desc()]
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(keyed.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     inside = dealt.withColumn("_next", F.lead(F.struct("id", "hash")).over(W.partitionBy("part").orderBy(*order)))
@@ -86,29 +87,25 @@ def _next_documents(keyed: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for each row of docs."""
-    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    texts = rows.groupBy("id", "hash").agg(F.first("text").alias("text"), F.count("*").alias("rows"))
-    order = _next_documents(rows.groupBy("id", "hash").agg(F.first(F.length("text")).alias("n")))
+    # a null id stands after all others, under the least number; its hash tells it from that number
+    nothing = F.col("doc_id").isNull()
+    rows = docs.select(F.when(nothing, LEAST).otherwise(F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit("")), nothing).alias("hash"), "doc_id")
     key = ["id", "hash"]
-
-    def on(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Joined on id and hash, null ids being equal."""
-        right = right.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), *(c for c in right.columns if c not in key))
-        return left.join(right, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).drop("_id", "_hash")
+    texts = rows.groupBy(*key).agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    order = _next_documents(rows.groupBy(*key).agg(F.first(F.length("text")).alias("n")))
 
     given = order.select(F.col("next_id").alias("id"), F.col("next_hash").alias("hash"), F.col("id").alias("to_id"), F.col("hash").alias("to_hash"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    heads = on(texts.drop("rows"), given).select(F.col("to_id").alias("id"), F.col("to_hash").alias("hash"), F.expr("substring(text, 1, need)").alias("head"), F.col("id").alias("next_id"), F.col("hash").alias("next_hash"))
-    both = on(texts, heads).withColumn("n", F.length("text")).withColumn("edited", F.concat(F.expr("substring(text, 1, n - cast(floor(n / 3) as int))"), F.col("head")))
-    facts = both.select(*key, "next_id", "next_hash", "rows", "n", F.sha2("edited", 256).alias("edited_sha256"))
+    heads = texts.select(*key, "text").join(given, key).select(F.col("to_id").alias("id"), F.col("to_hash").alias("hash"), F.expr("substring(text, 1, need)").alias("head"), F.col("id").alias("next_id"), F.col("hash").alias("next_hash"))
+    both = texts.join(heads, key).withColumn("n", F.length("text")).withColumn("edited", F.concat(F.expr("substring(text, 1, n - cast(floor(n / 3) as int))"), F.col("head")))
+    facts = both.select(*key, "doc_id", "next_id", "next_hash", "rows", "n", F.sha2("edited", 256).alias("edited_sha256"))
     forms = both.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("text")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("text")))).alias("_f")).select(*key, "_f.form", "_f.text")
     found = components(forms, [*key, "form"], samples)
     prints = found.groupBy(*key).agg(F.max(F.when(F.col("form") == 0, F.col("components"))).alias("own"), F.max(F.when(F.col("form") == 1, F.col("components"))).alias("changed"))
-    prints = prints.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "own", "changed")
-    whole = cut(facts.join(prints, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").drop("_id", "_hash"))
-    other = whole.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("own").alias("following"))
-    matched = whole.join(other, F.col("next_id").eqNullSafe(F.col("_id")) & (F.col("next_hash") == F.col("_hash")))
+    whole = cut(facts.join(prints, key, "left"))
+    other = whole.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("own").alias("following"))
+    matched = whole.join(other, ["next_id", "next_hash"])
     return matched.select(
-        F.col("id").alias("doc_id"),
+        "doc_id",
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
         as_text(F.col("own"), samples).alias("fingerprint"),
