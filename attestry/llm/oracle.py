@@ -49,5 +49,34 @@ SELECT id AS record_id, canonical_url, ts, status, CASE WHEN status = 'resolved'
   CASE WHEN status = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(validator, tag) || chr(10) || 'last-modified: day ' || (page_id // 100)
   ELSE 'content-type: none' || chr(10) || 'date: ' || ts || chr(10) || coalesce('etag: ' || validator || chr(10), '') || 'set-cookie: no' END AS headers
 FROM judged
+""",
+    "op1_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 4))) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.a = w.doc_id
+""",
+    "op4_lm_scores": r"""
+WITH w AS (SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS w FROM documents),
+h AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)), lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 5 = 1 AS held_out, w FROM w),
+t AS (SELECT doc_id, held_out, i, w[i] AS tok, CASE WHEN i = 1 THEN ' begin' ELSE w[i - 1] END AS hist FROM h, LATERAL (SELECT unnest(generate_series(1, len(w))) AS i)),
+u AS (SELECT tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+g AS (SELECT hist, tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1, 2),
+hc AS (SELECT hist, sum(c) AS c FROM g GROUP BY 1),
+k AS (SELECT sum(c) AS n, count(*) AS v FROM u),
+p AS (SELECT doc_id, held_out, coalesce(u.c, 0) > 0 AS known, (coalesce(u.c, 0) + 0.5::DOUBLE) / (k.n + 0.5::DOUBLE * (k.v + 1)) AS p1, coalesce(g.c, 0) AS cg, coalesce(hc.c, 0) AS ch, k.n FROM t LEFT JOIN u USING (tok) LEFT JOIN g USING (hist, tok) LEFT JOIN hc USING (hist), k)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count_if(known) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10(p1)), 6) AS base_score, round(sum(log10((cg + 2000 * p1) / (ch + 2000))), 6) AS score FROM p GROUP BY 1
+""",
+    "op9_chat_prefix_tree": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, role || chr(1) || text AS b FROM c),
+e AS (SELECT *, list_sum(list_transform(['\', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<|endoftext|>', '<|im_start|>', '<|im_end|>'], lambda x: (length(b) - length(replace(b, x, ''))) // length(x))) AS marks FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(text) + 17 + marks) AS BIGINT) AS formatted_chars FROM e GROUP BY 1
 """,
 }
