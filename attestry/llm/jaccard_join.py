@@ -12,11 +12,13 @@ passages come last and hardly ever make candidates.
    sorted arrays.  A shard finds the elements that several sets sent, orders
    their sets by size and cuts them where the sizes are too far apart to link:
    these tiles hold all links that there can be.
-2. Stars: in each tile every set is compared with one centre; of its centres a
-   set takes those with which it shares most elements.  What links is joined
-   to components.
+2. Stars: in each tile every set is compared with one centre, the one that
+   meets most others over all of its tiles; of its centres a set takes those
+   that it meets most often.  What links is joined to components.
 3. Rest: in tiles that still hold several components, every set outside the
    tile's largest is compared with all sets of other components in the tile.
+   In small tiles these are pairs; a large tile is cut into square blocks of
+   ``BLOCK`` sets a side, and only pairs that their bitmaps let pass leave it.
    So every pair of a tile is either compared or known to be connected.
 
 A comparison first bounds the overlap from above by the bit counts of the two
@@ -48,9 +50,13 @@ from attestry.llm._components import components
 WORDS, PERCENT = 5, 80
 LOAD_BITS = 20
 STARS = 3
+#: Size of the table that tells which documents any candidate needs.
+MARK_BITS = 24
 #: Text that makes the keys of one shard, about.
 SHARD_BYTES = 8 << 20
 _FLUSH = 2_000_000
+#: Sets of a tile up to which its pairs are made one by one, and sets of a block's side in larger ones.
+SMALL, BLOCK = 32, 2048
 
 _U = np.uint64
 
@@ -75,8 +81,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """At least two bits an element, a power of two; bytes."""
-    bits = 1 << max(7, int(2 * len(s) - 1).bit_length())
+    """At least four bits an element, a power of two; bytes."""
+    bits = 1 << max(7, int(4 * len(s) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(s >> _U(17)).astype(np.int64) & (bits - 1)] = True
     return np.packbits(out, bitorder="little")
@@ -89,7 +95,7 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray
             a = a[:, : a.shape[1] // 2] | a[:, a.shape[1] // 2 :]
         else:
             b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
-    return np.minimum(n_a - np.bitwise_count(a & ~b).sum(1), n_b - np.bitwise_count(b & ~a).sum(1))
+    return np.minimum(n_a - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n_b - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
 
 
 def _loads(docs: DataFrame, n: int) -> np.ndarray:
@@ -133,7 +139,7 @@ def _sketch(docs: DataFrame, n: int, sid: str = "sid", size: str = "n_shingles")
 
 
 def _tiles(docs: DataFrame, loads, n: int, percent: int, shards: int) -> DataFrame:
-    """tile, sid, n, hub: the sets of each tile, with its centre where that is near enough in size."""
+    """tile, sid, n, size: the sets of each tile, and how many it has."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(s << 64) // shards for s in range(1, shards)], _U)
@@ -181,36 +187,62 @@ def _tiles(docs: DataFrame, loads, n: int, percent: int, shards: int) -> DataFra
         run = np.cumsum(begins) - 1
         shared = np.diff(np.append(at, len(keys)))[run] > 1
         tile = _text.mix(keys * _U(3) + sizes[at][run].astype(_U)).astype(np.int64)
-        # the centre: the set of least priority, which differs between four kinds of tiles
-        priority = _text.mix(sids.astype(_U) + (keys & _U(3)) * _U(0x9E3779B97F4A7C15))
-        best = np.lexsort((priority, run))
-        centre = best[np.flatnonzero(np.concatenate(([True], run[best][1:] != run[best][:-1])))][run] if len(keys) else best
-        hub, n_hub = sids[centre], sizes[centre]
-        near = shared & (hub != sids) & (100 * np.minimum(sizes, n_hub) >= percent * np.maximum(sizes, n_hub))
-        return pa.table({"tile": pa.array(tile[shared]), "sid": pa.array(sids[shared]), "n": pa.array(sizes[shared]), "hub": pa.array(hub[shared], mask=~near[shared])})
+        size = np.diff(np.append(at, len(keys)))[run]
+        return pa.table({"tile": pa.array(tile[shared]), "sid": pa.array(sids[shared]), "n": pa.array(sizes[shared]), "size": pa.array(size[shared].astype(np.int64))})
 
     sent = docs.select("text").mapInArrow(send, "shard int, keys binary, sids binary, sizes binary")
-    return sent.groupBy("shard").applyInArrow(meet, "tile long, sid long, n long, hub long")
+    return sent.groupBy("shard").applyInArrow(meet, "tile long, sid long, n long, size long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """sid, n, bits and elements of the sets whose representative rows are wanted (doc_id, sid)."""
+def _marks(ids: DataFrame) -> np.ndarray:
+    """One bit in ``1 << MARK_BITS`` for each id's hash, so that other rows can be left out before any shuffle."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << MARK_BITS, bool)
+        for batch in batches:
+            bits[_place(batch.column("doc_id"))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+        for x in table.column("bits").to_pylist():
+            total |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.table({"bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    marked = ids.select("doc_id").mapInArrow(mark, "bits binary").groupBy(F.spark_partition_id() % 64).applyInArrow(join, "bits binary")
+    whole = marked.groupBy(F.isnull("bits")).applyInArrow(join, "bits binary").first()  # of at most 64 tables
+    return np.frombuffer(zlib.decompress(whole.bits), np.uint8) if whole else np.zeros(1 << (MARK_BITS - 3), np.uint8)
+
+
+def _marked(marks: np.ndarray, ids: pa.Array) -> np.ndarray:
+    place = _place(ids)
+    return (marks[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
+
+
+def _place(ids: pa.Array) -> np.ndarray:
+    return (_text.mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(_U)) >> _U(64 - MARK_BITS)).astype(np.int64)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, elements: bool) -> DataFrame:
+    """sid, n and bits, or sid and elements, of the sets whose representative rows are wanted (doc_id, sid), from their texts."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row, _end, buf, offs in _text.text_slices(batch.column("text")):
-                for r, s in enumerate(sets_of(buf, offs, n)):
-                    if set_id(s) == batch.column("sid")[row + r].as_py():
-                        rows.append((batch.column("sid")[row + r].as_py(), len(s), bitmap(s).tobytes(), s.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["sid", "n", "bits", "elements"])
+            batch = batch.filter(pa.array(_marked(marks.value, batch.column("doc_id"))))
+            for row, end, buf, offs in _text.text_slices(batch.column("text")):
+                sets = sets_of(buf, offs, n)
+                data = [s.tobytes() if elements else bitmap(s).tobytes() for s in sets]
+                cols = [([set_id(s) for s in sets], pa.int64()), ([len(s) for s in sets], pa.int64()), (data, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[row:end], *(pa.array(c, t) for c, t in cols)], names=["doc_id", "sid", "n", "data"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("sid", "text").mapInArrow(run, "sid long, n long, bits binary, elements binary").dropDuplicates(["sid"])
+    made = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, n long, data binary")
+    rows = made.join(wanted.select(F.col("doc_id").alias("_id"), F.col("sid").alias("_sid")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sid") == F.col("_sid")))
+    return rows.dropDuplicates(["sid"]).select("sid", "n", F.col("data").alias("elements" if elements else "bits"))
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+def _compare(pairs: DataFrame, docs: DataFrame, members: DataFrame, bitmaps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link; members: sid and a doc_id of each set."""
 
     def linked(overlap: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         return 100 * overlap >= percent * (n_a + n_b - overlap)
@@ -238,13 +270,54 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * overlap >= percent * (len(a) + len(b) - overlap))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def both(of: DataFrame, *columns: str) -> DataFrame:
+    def both(of: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
         for side in "ab":
             of = of.join(sets.select(F.col("sid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
         return of
 
-    passed = both(pairs, "n", "bits").mapInArrow(bound, "a long, b long")
-    return both(passed, "elements").mapInArrow(exact, "a long, b long")
+    passed = _text.cut(both(pairs, bitmaps, "n", "bits").mapInArrow(bound, "a long, b long"))
+    ends = passed.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sets = _sets(docs, ends.join(members, "sid"), words, True)
+    return both(passed, sets, "elements").mapInArrow(exact, "a long, b long")
+
+
+def _block_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int, groups: int) -> DataFrame:
+    """Pairs (a, b) of large tiles, of a set outside the tile's largest component with one of another component, that their bitmaps let pass."""
+    side = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("sid"), side).cast("int")
+    every = F.explode(F.sequence(F.lit(0), side - 1))
+    known = rows.join(bitmaps.select("sid", "bits"), "sid")
+    columns = ["tile", "sid", "n", "component", "major", "bits"]
+    outside = known.filter("component <> major").select(*columns, own.alias("row"), every.alias("col"), F.lit(True).alias("outside"))
+    inside = known.select(*columns, every.alias("row"), own.alias("col"), F.lit(False).alias("outside"))
+    dealt = outside.unionByName(inside).withColumn("_g", F.pmod(F.xxhash64("tile", "row", "col"), F.lit(groups)))
+
+    def run(table: pa.Table) -> pa.Table:
+        tile, sid, n, component, major, row, col, out = (table.column(c).to_numpy() for c in ("tile", "sid", "n", "component", "major", "row", "col", "outside"))
+        out = out.astype(bool)
+        bits = table.column("bits").to_pylist()
+        order = np.lexsort((col, row, tile))
+        cut = np.flatnonzero((np.diff(tile[order]) != 0) | (np.diff(row[order]) != 0) | (np.diff(col[order]) != 0)) + 1
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for block in np.split(order, cut):
+            left, right = block[out[block]], block[~out[block]]
+            if not len(left) or not len(right):
+                continue
+            width = min(len(bits[i]) for i in block)
+            folded = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, width // 8), axis=0) for i in right])
+            for i in left:
+                may = (component[right] != component[i]) & ((component[right] == major[i]) | (sid[right] > sid[i])) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
+                if not may.any():
+                    continue
+                others, mine = folded[may], np.bitwise_or.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, width // 8), axis=0)
+                size = n[right][may]
+                bound = np.minimum(n[i] - np.bitwise_count(mine & ~others).sum(1, dtype=np.int64), size - np.bitwise_count(others & ~mine).sum(1, dtype=np.int64))
+                hit = sid[right][may][100 * bound >= percent * (n[i] + size - bound)]
+                found_a.append(np.minimum(hit, sid[i]))
+                found_b.append(np.maximum(hit, sid[i]))
+        return pa.table({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
+
+    return dealt.groupBy("_g").applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shards: int | None = None) -> DataFrame:
@@ -257,26 +330,33 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sketch = _text.cut(_sketch(docs, words).select("doc_id", "sid", "n_shingles"))
     members = sketch.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     tiles = _text.cut(_tiles(docs, spark.sparkContext.broadcast(_loads(docs, words)), words, percent, shards))
-    sets = _text.cut(_sets(docs, tiles.select("sid").distinct().join(members, "sid"), words))
-
-    starred = tiles.filter("hub is not null").groupBy("sid", "hub").count()
+    bitmaps = _text.cut(_sets(docs, tiles.select("sid").distinct().join(members, "sid"), words, False))
+
+    # centres
+    weights = tiles.groupBy("sid").agg(F.sum("size").alias("weight"))
+    weighed = tiles.join(weights, "sid")
+    hubs = weighed.groupBy("tile").agg(F.max_by(F.struct(F.col("sid").alias("hub"), F.col("n").alias("n_hub")), F.struct("weight", "sid")).alias("_h")).select("tile", "_h.*")
+    near = 100 * F.least("n", "n_hub") >= percent * F.greatest("n", "n_hub")
+    starred = tiles.join(hubs, "tile").filter((F.col("sid") != F.col("hub")) & near).groupBy("sid", "hub").count()
     best = starred.withColumn("_k", F.row_number().over(W.partitionBy("sid").orderBy(F.desc("count"), "hub"))).filter(F.col("_k") <= STARS)
-    first = _text.cut(_compare(best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), sets, percent))
+    first = _text.cut(_compare(best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), docs, members, bitmaps, words, percent))
     found = components(first).select(F.col("node").alias("sid"), "component")
 
-    placed = tiles.select("tile", "sid", "n").join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    # the rest
+    placed = tiles.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     split = placed.groupBy("tile", "component").count().groupBy("tile").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
     mixed = _text.cut(placed.join(split, "tile"))
-    left = mixed.filter("component <> major").select("tile", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = mixed.select("tile", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "major")
-    rest = (
+    few = mixed.filter(F.col("size") <= SMALL)
+    left = few.filter("component <> major").select("tile", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+    right = few.select("tile", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "major")
+    pairs = (
         left.join(right, "tile")
         .filter((F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("major")) | (F.col("a") < F.col("b"))))
         .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
     )
-    second = _compare(rest, sets, percent)
+    rest = pairs.unionByName(_block_pairs(mixed.filter(F.col("size") > SMALL), bitmaps, percent, shards)).distinct()
+    second = _compare(rest, docs, members, bitmaps, words, percent)
     joined = components(first.unionByName(second)).select(F.col("node").alias("sid"), "component")
 
     named = members.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))

@@ -59,8 +59,10 @@ def corpus(seed, groups=14, copies=7):
     return [(i * 3 - 5, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,small,block", [(1, 32, 2048), (2, 2, 3)])
+def test_brute_force(spark, monkeypatch, seed, small, block):
+    monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "BLOCK", block)
     docs = corpus(seed)
     got = J.jaccard_components(spark.createDataFrame([(d, t, "c", 1, 2) for d, t in docs], SCHEMA).repartition(3), shards=5).drop("sid").collect()
     assert sorted(map(tuple, got)) == brute(docs)
