@@ -20,6 +20,8 @@ passages come last and hardly ever make candidates.
    In small tiles these are pairs; a large tile is cut into square blocks of
    ``BLOCK`` sets a side, and only pairs that their bitmaps let pass leave it.
    So every pair of a tile is either compared or known to be connected.
+4. Counts, if asked for: all pairs of each component, in blocks too, since the
+   steps before leave out pairs that are connected already.
 
 A comparison first bounds the overlap from above by the bit counts of the two
 bitmaps (a bit that only one set has is an element that the other lacks), and
@@ -320,15 +322,16 @@ def _block_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int, groups: int)
     return dealt.groupBy("_g").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shards: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id that the row's document reaches by links) and sid (equal for equal sets) for each row of docs."""
+def _shards(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+
+
+def _named(docs: DataFrame, words: int, percent: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, sid and n_shingles of each row of docs; sid, doc_id (the least), copies (rows) and component (the least sid that it reaches by links) of each set."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    if shards is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     sketch = _text.cut(_sketch(docs, words).select("doc_id", "sid", "n_shingles"))
-    members = sketch.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    members = sketch.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     tiles = _text.cut(_tiles(docs, spark.sparkContext.broadcast(_loads(docs, words)), words, percent, shards))
     bitmaps = _text.cut(_sets(docs, tiles.select("sid").distinct().join(members, "sid"), words, False))
 
@@ -359,11 +362,93 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     second = _compare(rest, docs, members, bitmaps, words, percent)
     joined = components(first.unionByName(second)).select(F.col("node").alias("sid"), "component")
 
-    named = members.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    return sketch, members.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+
+
+def link_counts(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the copies of those that it links with, over all pairs of a set of left and one of right; over each pair once if both are the same.
+
+    Elements of many sets are columns of a bit table, the others lists of their sets.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = np.diff(every[order]) != 0
+    at = np.flatnonzero(fresh)
+    shared = np.diff(np.append(at, len(every)))
+    code = np.empty(len(every), np.int64)
+    code[order] = np.cumsum(fresh) - 1
+    many = shared > max(8, len(sets) // 8)
+    column = np.cumsum(many) - 1
+    table = np.zeros((len(sets), -(-max(1, int(many.sum())) // 64) * 64), bool)
+    common = many[code]
+    table[owner[common], column[code[common]]] = True
+    table = np.packbits(table, axis=1).view(np.uint64)
+    holders, first, few = owner[order], np.concatenate(([0], np.cumsum([len(s) for s in sets]))), ~many & (shared > 1)
+    size = np.diff(first)
+    links = np.zeros(len(sets), np.int64)
+    same = left is right
+    for k, i in enumerate(left.tolist()):
+        others = right[k + 1 :] if same else right
+        mine = code[first[i] : first[i + 1]]
+        mine = mine[few[mine]]
+        lengths = shared[mine]
+        place = np.repeat(at[mine] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        overlap = np.bincount(holders[place], minlength=len(sets))[others] + np.bitwise_count(table[i] & table[others]).sum(1, dtype=np.int64)
+        hit = others[100 * overlap >= percent * (size[i] + size[others] - overlap)]
+        links[i] += copies[hit].sum()
+        links[hit] += copies[i]
+    return links
+
+
+def _link_counts(docs: DataFrame, named: DataFrame, words: int, percent: int, groups: int) -> DataFrame:
+    """sid and links (rows of other sets that link with it) of the sets of components of several sets.
+
+    Links are inside components, so a component's pairs hold them all; a large one is cut into square
+    blocks, and each of its pairs falls into one block.
+    """
+    several = named.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
+    wanted = _text.cut(named.join(several, "component"))
+    side = F.ceil(F.col("size") / BLOCK).cast("int")
+    known = _sets(docs, wanted, words, True).join(wanted.select("sid", "component", "copies", side.alias("side")), "sid")
+    known = known.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("side")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    dealt = known.select("component", "sid", "copies", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), "elements").withColumn("_g", F.pmod(F.xxhash64("component", "row", "col"), F.lit(groups)))
+
+    def run(table: pa.Table) -> pa.Table:
+        component, sid, copies, own, row, col = (table.column(c).to_numpy() for c in ("component", "sid", "copies", "own", "row", "col"))
+        elements = table.column("elements").to_pylist()
+        order = np.lexsort((col, row, component))
+        cut = np.flatnonzero((np.diff(component[order]) != 0) | (np.diff(row[order]) != 0) | (np.diff(col[order]) != 0)) + 1
+        links = np.zeros(len(sid), np.int64)
+        for block in np.split(order, cut):
+            left = np.flatnonzero(own[block] == row[block])
+            right = left if row[block[0]] == col[block[0]] else np.flatnonzero(own[block] == col[block])
+            links[block] = link_counts([np.frombuffer(elements[i], _U) for i in block], copies[block], left, right, percent)
+        return pa.table({"sid": pa.array(sid), "links": pa.array(links)})
+
+    return dealt.groupBy("_g").applyInArrow(run, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shards: int | None = None, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id that the row's document reaches by links) and sid (equal for equal sets) for each row of docs.
+
+    With links also n_links: the other rows whose sets link with the row's own, those of equal sets among them, each pair compared.
+    """
+    docs = docs.select("doc_id", "text")
+    if shards is None:
+        shards = _shards(docs)
+    sketch, named = _named(docs, words, percent, shards)
+    columns = ["component_id"]
+    if links:
+        named = _text.cut(named)
+        named = named.join(_link_counts(docs, named, words, percent, shards), "sid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+        columns.append("n_links")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(least, "component").select("sid", "component_id")
-    full = sketch.filter("n_shingles > 0").join(ids, "sid", "left").select("doc_id", "n_shingles", "component_id", "sid")
-    return full.unionByName(sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sid"))
+    ids = named.join(least, "component").select("sid", *columns)
+    full = sketch.filter("n_shingles > 0").join(ids, "sid", "left").select("doc_id", "n_shingles", *columns, "sid")
+    empty = [F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")][: len(columns)]
+    return full.unionByName(sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", *empty, "sid"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

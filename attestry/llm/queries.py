@@ -22,6 +22,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents")).drop("sid")
 
 
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"), links=True).drop("sid")
+
+
 def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestry.llm.fingerprint import fingerprints
 
@@ -82,6 +88,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op1_jaccard_links": op1_jaccard_links,
     "op2_weighted_fingerprints": op2_weighted_fingerprints,
     "op3_revisit_resolution": op3_revisit_resolution,
     "op4_lm_scores": op4_lm_scores,

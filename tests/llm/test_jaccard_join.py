@@ -108,3 +108,24 @@ def test_keep_one(spark):
     kept = J.keep_one(frame)
     assert kept.columns == frame.columns
     assert sorted((r.doc_id, r.text) for r in kept.fillna("", "text").collect()) == [(0, "A b c d e f G"), (1, "other words"), (8, ""), (8, ""), (9, "")]
+
+
+@pytest.mark.parametrize("seed,small,block", [(1, 32, 2048), (2, 2, 3)])
+def test_links_of_connected_pairs(spark, monkeypatch, seed, small, block):
+    monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "BLOCK", block)
+    docs = corpus(seed)
+    sets = [shingles(t) for _, t in docs]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = [(*row, sum(linked(sets[i], sets[j]) for j in range(len(docs)) if j != i)) for row, i in zip(brute(docs), range(len(docs)), strict=True)]
+    frame = spark.createDataFrame([(d, t, "c", 1, 2) for d, t in docs], SCHEMA).repartition(3)
+    got = J.jaccard_components(frame, shards=5, links=True).drop("sid").collect()
+    assert sorted(map(tuple, got)) == want and max(r.n_links for r in got) > 2
+
+
+def test_links_count_rows(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (0, 59)]
+    docs = [(1, " ".join(words)), (2, " ".join(words).upper()), (3, near[0]), (4, near[1]), (4, near[1]), (None, "other words"), (6, None)]
+    got = J.jaccard_components(spark.createDataFrame([(d, t, "c", 1, 2) for d, t in docs], SCHEMA), links=True).collect()
+    assert sorted((r.doc_id or 0, r.n_links) for r in got) == [(0, 0), (1, 4), (2, 4), (3, 4), (4, 4), (4, 4), (6, 0)]
