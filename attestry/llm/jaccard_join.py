@@ -452,9 +452,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component: that of least id (then of least sid); rows with an empty set all stay."""
-    found = jaccard_components(docs, words, percent).filter("n_shingles > 0")
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "sid")).alias("_k")).select(F.col("_k.doc_id").alias("_kept_id"), F.col("_k.sid").alias("_kept_sid"))
+    """docs with one row of each component: that of least id (null only if all of its ids are; then of least sid); rows with an empty set all stay.
+
+    Components are told apart by their least sid, since several may have null or one repeated id as theirs.
+    """
+    pairs = docs.select("doc_id", "text")
+    sketch, named = _named(pairs, words, percent, _shards(pairs))
+    found = sketch.filter("n_shingles > 0").join(named.select("sid", "component"), "sid")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sid")).alias("_k")).select(F.col("_k.doc_id").alias("_kept_id"), F.col("_k.sid").alias("_kept_sid"))
     rows = _sketch(docs, words, "_sid", "_n")
     full = rows.filter("_n > 0").join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sid") == F.col("_kept_sid")), "left_semi").dropDuplicates(["doc_id", "_sid"])
     return full.unionByName(rows.filter("_n = 0")).select(docs.columns)

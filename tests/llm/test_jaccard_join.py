@@ -129,3 +129,9 @@ def test_links_count_rows(spark):
     docs = [(1, " ".join(words)), (2, " ".join(words).upper()), (3, near[0]), (4, near[1]), (4, near[1]), (None, "other words"), (6, None)]
     got = J.jaccard_components(spark.createDataFrame([(d, t, "c", 1, 2) for d, t in docs], SCHEMA), links=True).collect()
     assert sorted((r.doc_id or 0, r.n_links) for r in got) == [(0, 0), (1, 4), (2, 4), (3, 4), (4, 4), (4, 4), (6, 0)]
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    docs = [(None, "a b c d e f g"), (None, "A b c d e f g"), (None, "other words"), (5, "first of two texts"), (5, "second"), (None, "mixed ids"), (7, "Mixed ids")]
+    kept = J.keep_one(spark.createDataFrame([(d, t, "c", 1, 2) for d, t in docs], SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [(0, "a b c d e f g"), (0, "other words"), (5, "first of two texts"), (5, "second"), (7, "mixed ids")]
