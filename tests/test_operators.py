@@ -2,6 +2,7 @@ import hashlib
 import hmac
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -260,3 +261,13 @@ def test_leakage_and_split(spark):
     assert len(parts) == 7 and all(100 < r["count"] < 600 for r in parts)
     sizes = [r["count"] for r in evaluation.exact_split(spark.range(10), "id").groupBy("part").count().collect()]
     assert sorted(sizes) == [2, 2, 3, 3]
+
+
+def test_ranks_of_one_severity_come_from_many_tasks(spark):
+    rows = [(str(i), "HIGH" if i % 3 else None, i) for i in range(2000)] + [("x", "HIGH", None)]
+    ranked = governance.ranked_penalties(spark.createDataFrame(rows, "finding_id string, severity string, k long").repartition(7), "k")
+    got = {r.finding_id: (r.rank, r.points) for r in ranked.collect()}
+    assert len(got) == 2001 and [got[k] for k in ("x", "1", "2", "4")] == [(1, 10), (2, 6), (3, 3), (4, 3)]
+    assert sorted(v[0] for v in got.values()) == sorted([*range(1, 1335), *range(1, 668)])
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number() windowspecdefinition(") == len(re.findall(r"row_number\(\) windowspecdefinition\(severity#\d+, _slice#\d+", plan)) > 0
