@@ -9,6 +9,7 @@ Python object per word.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -137,13 +138,37 @@ def append_arrow(df: DataFrame, fields: T.StructType, make: Callable[[pa.RecordB
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session has none, as in tests."""
+    """The folder that all executors share; a local session without one, as in tests, gets one beside its warehouse."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.abspath('spark-warehouse')}/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name for a table of this session in the shared folder; ``remove`` takes it away."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a table of the shared folder that no result needs any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder as compressed Parquet and read from there."""
+    spark = df.sparkSession
+    folder = new_folder(spark, "table")
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read from there."""
     shared_folder(df.sparkSession)
