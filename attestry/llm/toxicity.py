@@ -25,8 +25,10 @@ ones and the sum over all of them to a probability.
 Defined cases: null text is scored as empty; an empty text has no segment and
 gets the curve's value there; without both labels in training the score is the
 base rate (0.0 if nothing is labelled); a document labelled both ways counts as
-toxic; repeated rows are each scored; more columns are kept, but for names
-added here.
+toxic, as do all texts of an id that is labelled so; of equal segments the first
+counts; very long texts are scanned whole, one at a time; repeated rows are each
+scored; an empty table gives none; more columns are kept, but for the names
+added here, which replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -165,17 +167,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The bounded sample: text, toxic and fold, each text once."""
+    """The bounded sample: text, toxic and fold, each text once; MAX_LABELLED rows at most."""
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # MAX_LABELLED rows at most
-    return texts.groupBy(F.xxhash64("text").alias("_hash"), "text").agg(F.max("_toxic").alias("toxic")).select("text", "toxic", F.pmod("_hash", F.lit(2)).cast("int").alias("fold"))
+    given = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    # one id may have any number of texts: the texts are bounded by their hashes, each taken from its least id
+    hashes = given.select("doc_id", "_hash").join(F.broadcast(chosen), "doc_id").groupBy("_hash").agg(F.max("_toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    bounded = hashes.orderBy("_hash").limit(MAX_LABELLED)  # broadcast below: three numbers for each of MAX_LABELLED rows
+    texts = given.join(F.broadcast(bounded), ["doc_id", "_hash"]).groupBy("_hash", "toxic").agg(F.first("text").alias("text"))
+    return texts.select("text", "toxic", F.pmod("_hash", F.lit(2)).cast("int").alias("fold"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, np.ndarray]:
     """The scorer and the curve's weights."""
     spark = docs.sparkSession
-    sample = _text.cut(_sample(docs, labels))
+    sample = _text.written(_sample(docs, labels))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((4, 1 << BITS), np.int32)  # toxic of both folds, then clean of both
