@@ -3,21 +3,29 @@
 For a byte-level BPE with the usual splitting pattern, a text always splits
 before a space that is followed by a character which is not white space, and
 nothing merges across that place.  So a text's ids are those of its pieces,
-each taken alone; pieces recur, and only those not seen lately go to the
-library.  Where a piece starts with white space (or is empty, or a special
-string follows the space), it stays joined to the piece before it.
-
-Pieces of plain Latin letters, digits and signs take a faster way to the same
-merges, where the file allows it: if its ids are in the order of its merges and
-it splits by the usual pattern, they are the ranks of a rank-ordered encoder,
-which is built from the file.  Each worker compares the first ``CHECKED`` of
-these pieces with the library and gives the faster way up on any difference.
-
-Huge texts are encoded in overlapping chunks: a chunk ends anywhere, the next
-encoding starts ``overlap`` characters before that end, and the two are spliced
-at a boundary that both have, after which both give the same ids up to a
-further common boundary.  If there is none, the overlap is widened, at last to
-the rest of the text.
+each taken alone; pieces recur, and only those not seen lately are encoded.
+Where a piece starts with white space (or is empty, or a special string follows
+the space), it stays joined to the piece before it.  Files of any other kind
+(with a normalizer, another splitter, or a sentencepiece model) get whole texts.
+
+New pieces of plain Latin letters, digits and signs, for which the pattern has
+one reading, are proposed by a rank-ordered encoder built from the file, where
+the file's ids are in the order of its merges.  A proposal counts only if the
+library agrees on all of it: a sequence of tokens is a BPE's encoding if and only
+if each two neighbours are the encoding of their text, so every distinct pair
+of neighbours (and every token that stands alone) goes to the library once in
+each worker.  Pieces with a pair that the library gives otherwise, or that is
+no whole text, are encoded by the library themselves, like all other pieces.
+
+Huge texts go to the library in overlapping chunks, with offsets.  The splitter
+reads from left to right and looks one character ahead, so what it does from a
+place on depends on that place alone: where the left chunk's encoding, before
+its last characters, and the right chunk's start a word of the splitter at the
+same place, both go on alike, and the text's encoding is the left one up to
+there and the right one from there on.  All common tokens behind that place
+must agree in id and offset; if they don't, or no word starts at the same place
+in both, the overlap is widened, at last to all of the left chunk, which then
+grows itself.
 """
 
 from __future__ import annotations
@@ -32,14 +40,16 @@ import numpy as np
 
 #: Entries after which the cache keeps its short pieces alone (about 250 bytes each).
 MAX_ENTRIES = 600_000
-#: Pieces with which each worker tests the faster way.
-CHECKED = 2_000
+#: Pairs after which a worker proves them anew (about 100 bytes each).
+MAX_PAIRS = 1_000_000
 #: Characters of a chunk of a huge text, and of the first overlap.
-CHUNK, OVERLAP = 1 << 16, 1 << 9
+CHUNK, OVERLAP = 1 << 14, 1 << 8
 
 _PLAIN = re.compile("[!-~\\nÀ-ÖØ-öø-ÿ]*")
 #: How byte-level files usually split a text; a fixed value.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Stands for the second token of a token that is alone.
+_ALONE = (1 << 32) - 1
 
 _OPEN: dict[str, Encoder] = {}
 
@@ -51,14 +61,17 @@ def _bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def _rank_encoder(path: str):
-    """A rank-ordered encoder with the file's ids, or None where the file isn't of that kind."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def _usual(spec: dict) -> bool:
+    """Whether the file is a byte-level BPE that splits by the usual pattern and takes texts and special strings as they are."""
     split, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
-    if not plain or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
-        return None
+    merges = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    return bool(plain and merges and not any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")))
+
+
+def _rank_encoder(spec: dict):
+    """A rank-ordered encoder with the ids of a usual file, or None where they aren't in the order of its merges."""
+    model = spec["model"]
     merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     if any(model["vocab"].get(token) != 256 + k for k, token in enumerate(merged)):
         return None
@@ -77,38 +90,120 @@ def encoder(path: str) -> Encoder:
     return _OPEN[path]
 
 
-class Encoder:
-    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
+class _Sentences:
+    """A sentencepiece model behind the calls that are used of the tokenizers library."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def get_vocab_size(self) -> int:
+        return self.model.vocab_size()
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
+
+
+class _Library:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunk, self.overlap = chunk, overlap
+        self.model = Tokenizer.from_file(path)
+        self.get_vocab_size = self.model.get_vocab_size
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class Spans:
+    """The library's encoding of text[at:end]: ids, their offsets in the whole text, and which ids start a word of the splitter."""
+
+    def __init__(self, library: _Library, text: str, at: int, end: int, dtype: np.dtype):
+        found = library.model.encode(text[at:end], add_special_tokens=False)
+        self.at, self.end = at, end
+        self.ids = np.array(found.ids, dtype)
+        self.offsets = np.array([a for a, _ in found.offsets], np.int64) + at
+        word = np.array([-1 - k if w is None else w for k, w in enumerate(found.word_ids)], np.int64)
+        self.words = np.append(True, word[1:] != word[:-1])[: len(word)]
+
+    def starts(self, low: int, high: int) -> np.ndarray:
+        """Places of words' starts from low on, before high."""
+        return self.offsets[self.words & (self.offsets >= low) & (self.offsets < high)]
+
+    def between(self, low: int, high: int) -> slice:
+        return slice(*np.searchsorted(self.offsets, (low, high)).tolist())
+
+
+class Encoder:
+    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
+        self.chunk, self.overlap, self.widened, self.spliced = chunk, overlap, 0, 0
         self.seen: dict[str, bytes | None] = {}
-        self.ranked, self.checked = _rank_encoder(path), 0
-        self.widened = 0
+        self.pairs: dict[int, bool] = {}
+        self.usual, self.special, self.ranked = False, (), None
+        if path.endswith(".model"):
+            self.library: _Library | _Sentences = _Sentences(path)
+        else:
+            self.library = _Library(path)
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+            self.special = tuple(t["content"] for t in spec["added_tokens"])
+            self.usual = _usual(spec)
+            self.ranked = _rank_encoder(spec) if self.usual else None
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x, self.dtype).tobytes() for x in self.library.ids(texts)]
 
     def _joined(self, piece: str) -> bool:
         """The space before this piece is no proven boundary."""
         return not piece or piece[0].isspace() or piece.startswith(self.special)
 
+    def _prove(self, codes: list[int]) -> None:
+        """Asks the library about pairs of tokens."""
+        if len(self.pairs) > MAX_PAIRS:
+            self.pairs.clear()
+        texts, asked = [], []
+        for code in codes:
+            tokens = [code >> 32] if code & _ALONE == _ALONE else [code >> 32, code & _ALONE]
+            self.pairs[code] = False
+            try:
+                texts.append(b"".join(map(self.ranked.decode_single_token_bytes, tokens)).decode())
+            except UnicodeDecodeError:
+                continue
+            asked.append((code, tokens))
+        for (code, tokens), ids in zip(asked, self.library.ids(texts), strict=True):
+            self.pairs[code] = ids == tokens
+
+    def _proven(self, proposals: list[list[int]]) -> np.ndarray:
+        """Whether the library agrees with all of each proposal."""
+        lengths = np.array([len(x) for x in proposals])
+        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(lengths.sum()))
+        last = np.cumsum(lengths) - 1
+        following = np.append(flat[1:], 0)
+        following[last[lengths > 1]] = -1  # nothing to prove: the token is in the pair before
+        following[last[lengths == 1]] = _ALONE
+        real = following >= 0
+        codes, inverse = np.unique((flat[real] << 32) | following[real], return_inverse=True)
+        known = codes.tolist()
+        self._prove([c for c in known if c not in self.pairs])
+        right = np.ones(len(flat), bool)
+        right[real] = np.array([self.pairs.get(c, False) for c in known], bool)[inverse]
+        return np.logical_and.reduceat(right, last - lengths + 1)
+
     def _spaced(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each with its space."""
-        if self.ranked is None:
+        if self.ranked is None or not pieces:
             return self._whole([" " + p for p in pieces])
-        plain, kind, encode = _PLAIN.fullmatch, self.dtype.char, self.ranked.encode_ordinary
-        out = [array(kind, encode(" " + p)).tobytes() if plain(p) and "<|" not in p else None for p in pieces]
-        if self.checked < CHECKED:
-            some = [k for k, x in enumerate(out) if x is not None][: CHECKED - self.checked]
-            self.checked += len(some)
-            if [out[k] for k in some] != self._whole([" " + pieces[k] for k in some]):
-                self.ranked = None
-                return self._spaced(pieces)
+        plain, kind, propose = _PLAIN.fullmatch, self.dtype.char, self.ranked.encode_ordinary
+        out: list[bytes | None] = [None] * len(pieces)
+        at = [k for k, p in enumerate(pieces) if plain(p) and "<|" not in p]
+        if at:
+            proposals = [propose(" " + pieces[k]) for k in at]
+            for k, ids, right in zip(at, proposals, self._proven(proposals).tolist(), strict=True):
+                if right:
+                    out[k] = array(kind, ids).tobytes()
         rest = [k for k, x in enumerate(out) if x is None]
         for k, ids in zip(rest, self._whole([" " + pieces[k] for k in rest]), strict=True):
             out[k] = ids
@@ -137,11 +232,13 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, as little-endian numbers of ``dtype``."""
+        if not self.usual:
+            return self._whole(texts)
         out: list[bytes | None] = [None] * len(texts)
         split = {}
         for k, text in enumerate(texts):
             if len(text) > self.chunk:
-                out[k] = self._spliced(text)
+                out[k] = self._resynchronised(text)
             else:
                 split[k] = text.split(" ")
         self._learn(set(chain.from_iterable(p[1:] for p in split.values())))
@@ -151,39 +248,42 @@ class Encoder:
             try:
                 out[k] = heads[k] + b"".join(map(get, pieces[1:]))
             except TypeError:  # a piece that stays joined
-                out[k] = b"".join(self._encoded(texts[k])[1])
+                out[k] = self._with_joined(texts[k])
         return out
 
-    def _encoded(self, text: str) -> tuple[list[int], list[bytes]]:
-        """Start of every piece (with its space) and its ids."""
+    def _with_joined(self, text: str) -> bytes:
         pieces = self._pieces(text)
-        ids = self._whole([pieces[0], *(" " + p for p in pieces[1:] if self.seen.get(p) is None)])
-        fresh = iter(ids[1:])
-        parts = [ids[0], *(self.seen.get(p) or next(fresh) for p in pieces[1:])]
-        starts, at = [0], len(pieces[0])
-        for p in pieces[1:]:
-            starts.append(at)
-            at += len(p) + 1
-        return starts, parts
-
-    def _spliced(self, text: str) -> bytes:
+        fresh = iter(self._whole([pieces[0], *(" " + p for p in pieces[1:] if self.seen.get(p) is None)]))
+        return b"".join([next(fresh), *(self.seen.get(p) or next(fresh) for p in pieces[1:])])
+
+    def _resynchronised(self, text: str) -> bytes:
+        """Ids of a huge text from overlapping chunks."""
         out: list[bytes] = []
-        at, end, overlap = 0, self.chunk, self.overlap
-        while end < len(text):
-            starts, parts = self._encoded(text[at:end])
-            again = max(at, end - overlap)
-            starts2, parts2 = self._encoded(text[again : end + overlap])
-            left = {s + at: k for k, s in enumerate(starts)}
-            right = {s + again: k for k, s in enumerate(starts2)}
-            common = sorted(p for p in left.keys() & right.keys() if again < p < end - 1)
-            proven = [p for p, q in zip(common, common[1:]) if parts[left[p] : left[q]] == parts2[right[p] : right[q]]]
-            if proven:
-                cut = proven[len(proven) // 2]
-                out += parts[: left[cut]]
-                at, end, overlap = cut, cut + self.chunk, self.overlap
-            else:
-                self.widened += 1
-                overlap *= 2
-                end += overlap
-        out += self._encoded(text[at:])[1]
+        unsure = max(map(len, self.special), default=0) + 1  # a special string may be cut at a chunk's end
+        cut, overlap = 0, self.overlap
+        left = self._spans(text, 0, self.chunk)
+        while left.end < len(text):
+            again = max(cut, left.end - overlap)
+            right = self._spans(text, again, again + max(self.chunk, 2 * (left.end - again)))
+            common = np.intersect1d(left.starts(again, left.end - unsure), right.starts(again, left.end - unsure))
+            if len(common) > 1 and self._agree(left, right, int(common[0]), int(common[-1])):
+                place = int(common[0])
+                out.append(left.ids[left.between(cut, place)].tobytes())
+                cut, left, overlap = place, right, self.overlap
+                self.spliced += 1
+                continue
+            self.widened += 1
+            overlap *= 2
+            if again == cut:  # all of the left chunk's rest was in the overlap
+                left = self._spans(text, cut, cut + 2 * (left.end - cut))
+        out.append(left.ids[left.between(cut, len(text))].tobytes())
         return b"".join(out)
+
+    def _spans(self, text: str, at: int, end: int) -> Spans:
+        return Spans(self.library, text, at, min(end, len(text)), self.dtype)
+
+    @staticmethod
+    def _agree(left: Spans, right: Spans, low: int, high: int) -> bool:
+        """Whether both have the same ids at the same offsets between two places."""
+        a, b = left.between(low, high), right.between(low, high)
+        return np.array_equal(left.ids[a], right.ids[b]) and np.array_equal(left.offsets[a], right.offsets[b])

@@ -13,12 +13,13 @@ ranges nor a lost executor encodes anything again, and through one shuffle.
 
 Defined cases: null text is empty and gives the end id alone; repeated rows are
 each packed; rows of equal key are spread by id, so a large group of copies
-doesn't meet in one range; more columns are dropped.
+doesn't meet in one range, and rows of equal key, id and ids follow each other in
+any order; a very long text is cut into as many sequences as it fills; an empty
+table gives none; more columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ from attestry.llm import _bpe, _text
 BUCKETS, DIMS, BITS = 256, 4, 15
 SEQUENCE = 1024
 END_ID = 0
+#: Tokens of a range on average (two or four bytes each), whatever the input's size.
+RANGE_TOKENS = 1 << 24
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -151,10 +154,9 @@ def _powers_of_two(pieces: list[list], total: int, first: int) -> list[list]:
 def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, with_ids: bool = True, partitions: int | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (unsigned 32-bit, or null)."""
     spark = docs.sparkSession
-    encoded = f"{_text.shared_folder(spark)}/packed-{uuid.uuid4().hex}"
-    _encode(docs, tokenizer).write.option("compression", "zstd").parquet(encoded)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = spark.read.parquet(encoded)
+    rows = _text.written(_encode(docs, tokenizer))
+    tokens = rows.agg(F.sum("doc_tokens")).first()[0] or 0
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // RANGE_TOKENS))
     ordered = rows.withColumn("_tie", F.crc32("ids")).repartitionByRange(parts, "curve_key", "doc_id", "_tie").sortWithinPartitions("curve_key", "doc_id", "_tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

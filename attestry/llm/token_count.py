@@ -1,11 +1,14 @@
 """Token counts by overlap resynchronisation (see ``_bpe`` for the splicing).
 
-Texts up to ``chunk`` characters are encoded at once, longer ones in
-overlapping chunks spliced at proven common boundaries, so a worker holds the
-pieces of one chunk of a huge text, not of all of it.
-
-Defined cases: null text counts as empty, with 0 bytes and 0 tokens; repeated
-rows are each counted; more columns are kept, but for names added here.
+Texts of more than ``_bpe.CHUNK`` characters go to the library in overlapping
+chunks with offsets, spliced at proven common boundaries, so a worker holds the
+encoding of two chunks of a huge text, not of all of it; shorter ones are
+encoded at once, by their cached pieces.
+
+Defined cases: null text counts as empty, with 0 bytes and 0 tokens; a text
+without any place to splice is one chunk; repeated rows are each counted; an
+empty table gives none; more columns are kept, but for the names added here,
+which replace columns of the same name.
 """
 
 from __future__ import annotations

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -45,9 +46,56 @@ def test_overlap_is_widened_without_a_boundary():
     enc = _bpe.Encoder(tokenizer_path(), 64, 8)
     text = "x" * 1000 + " then words " * 20
     assert np.frombuffer(enc.batch([text])[0], enc.dtype).tolist() == library_ids(text)
+    assert enc.widened > 0 and enc.spliced > 0
+
+
+def test_overlap_is_widened_where_its_encodings_differ():
+    """A run of letters longer than the overlap is read otherwise from its middle: ids differ, and no word starts alike."""
+    enc = _bpe.Encoder(tokenizer_path(), 100, 10)
+    text = "lead words " * 8 + "abcdefghij" * 5 + " tail words" * 30
+    left, right = enc._spans(text, 0, 100), enc._spans(text, 93, 193)
+    assert left.ids[left.between(93, 100)].tolist() != right.ids[right.between(93, 100)].tolist()
+    assert np.frombuffer(enc.batch([text])[0], enc.dtype).tolist() == library_ids(text)
     assert enc.widened > 0
 
 
+def test_huge_texts_against_the_library():
+    rng = random.Random(3)
+    kinds = ["word", "Wörter", "漢字", "x" * 40, "12345", "...", "''s", "<|endoftext|>", "<|endof", "it's", "\u0085", "e\u0301"]
+    gaps = [" ", "  ", "\n", " \n\n ", "", "\t", " " * 70]
+    for chunk, overlap in ((60, 4), (150, 30), (1000, 100)):
+        enc = _bpe.Encoder(tokenizer_path(), chunk, overlap)
+        for _ in range(60):
+            text = "".join(rng.choice(kinds) + rng.choice(gaps) for _ in range(rng.randint(20, 400)))
+            assert np.frombuffer(enc.batch([text])[0], enc.dtype).tolist() == library_ids(text), text
+        assert enc.spliced > 0
+
+
+def test_proposals_are_proven_by_pairs():
+    rng = random.Random(5)
+    enc = _bpe.Encoder(tokenizer_path())
+    letters = "abcdefghijklmnopqrstuvwxyzABCéüß0123456789.,;:'!?-\n"
+    pieces = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    pieces = [p for p in pieces if not p[0].isspace()]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc._spaced(pieces)] == [library_ids(" " + p) for p in pieces]
+    assert any(enc.pairs.values()) and not all(enc.pairs.values())
+    wrong = enc.ranked.encode_ordinary(" ") + enc.ranked.encode_ordinary("the")
+    assert enc._proven([enc.ranked.encode_ordinary(" the"), wrong]).tolist() == [True, False]
+
+
+def test_other_files_get_whole_texts():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, enc = Tokenizer.from_file(path), _bpe.Encoder(path, 64, 8)
+    texts = [t or "" for t in HARD]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, enc = sentencepiece.SentencePieceProcessor(model_file=path), _bpe.Encoder(path)
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.batch(texts)] == [model.encode(t) for t in texts]
+
+
 def test_counts(spark):
     rows = [(i, t, "clash", "c") for i, t in enumerate(HARD)] * 2
     got = token_count.token_counts(spark.createDataFrame(rows, SCHEMA), tokenizer_path()).collect()
