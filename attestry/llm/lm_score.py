@@ -6,30 +6,48 @@ The model is a hierarchical Dirichlet n-gram model over all training tokens:
     pk(t | h) = (c(h t) + MU * p(k-1)(t | h')) / (c(h) + MU)      h' is h without its first token
 
 As an automaton: each history seen in training is a state; a seen n-gram is an
-arc that holds its whole smoothed probability; where a state has no arc for a
-token, its failure arc to the state of h' costs MU / (c(h) + MU).  A text is
-read once from left to right; the state carried on is that of the longest
-suffix that is one.  (The states before each token follow from the tokens, so
-the traversal of all texts of a bucket is done at once in arrays.)
+arc that holds its whole smoothed probability and leads to the state of its
+longest suffix that can be one; where a state has no arc for a token, its
+failure arc to the state of h' costs MU / (c(h) + MU); at the root, an unseen
+token costs p1 and stays there.  A text is read from left to right, and each
+token's log-probability is added up along failure arcs and arc.  All texts of a
+bucket are read side by side, one token of each at a step.  Texts are cut for
+that into segments; a segment is entered ``order - 1`` tokens early at the root
+(or at the text's start), which leads to the state that the whole text's
+traversal has there.
 
 The n-gram table grows with the corpus and is never in one place.  Documents
 are dealt to buckets by hash.  A bucket sends the distinct n-grams of its
 texts, with their counts in its training texts, to shards by range of their
-64-bit hash; a shard adds up the counts and answers each bucket, for its own
-n-grams only, what others have added, along with the shard's share of N and V.
-The bucket then builds the automaton of just the n-grams that its texts can
-meet, which scores them as the whole model would.  Both messages are sorted
-arrays in one row for each bucket and shard; a very common n-gram costs one
-entry in each bucket.  A bucket is of ``BUCKET_BYTES`` of text on average,
-whatever the input's size.
+hash; a shard adds up the counts and answers each bucket for its own n-grams
+only, along with the shard's share of N and V.  The bucket then builds the
+automaton of just the n-grams that its texts can meet, which scores them as the
+whole model would.  Messages are sorted hashes, in about as many bits as the
+gaps between them need, with a byte for each count; a very common n-gram costs
+one entry in each bucket.  A bucket is of ``BUCKET_BYTES`` of text on average.
+
+With as many shards as buckets, messages grow with the square of the input, so
+beyond ``MESSAGES`` of them they take two levels: a bucket sends to groups of
+shards, the messages of a group of buckets are merged there and sent on to each
+shard, and the answers come back the same way.  Groups have the square root of
+the number of members; the results are the same.
+
+Hashes keep 16 bits more than the input's bytes take (48 at least, 64 at most),
+so of distinct n-grams about one in 2**17 is expected to share its count with
+another one, whatever the input's size and the number of shards (up to 2**48
+bytes, the share growing beyond).
 
 Defined cases: null text is empty and has the end token alone; repeated rows
 count and are scored each time; with no training document all counts are 0 and
-the score is that of the smoothing; more columns are dropped.
+the score is that of the smoothing; a very long text makes its bucket as large
+as itself; an empty table gives none; more columns are dropped, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,12 +56,13 @@ from pyspark.sql import functions as F
 from attestry.llm import _text
 from attestry.llm.language import held_out
 
-ORDER = 2
-#: Weight of the shorter history, in tokens; of 5 to 50,000 the best on held-out documents.
+ORDER = 3
+#: Weight of the shorter history, in tokens; of 200 to 20,000 the best on held-out documents.
 MU = 2000.0
 BUCKET_BYTES = 8 << 20
-#: Of single tokens, and of longer n-grams.
-KEY_BYTES = (6, 5)
+MESSAGES = 1 << 26
+#: Tokens of a text that one traversal reads.
+SEGMENT = 512
 
 _U = np.uint64
 _END, _BEGIN = _U(0x51ED270B4D2F6A10), _U(0x2545F4914F6CDD1C)
@@ -51,13 +70,14 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 class Grams:
-    """The n-grams of a bucket's texts: for each token and order, the index of its key among the distinct ones."""
+    """The n-grams of a bucket's texts: of each order the distinct keys, one place of each, and for each token the index of its key."""
 
-    def __init__(self, table: pa.Table, order: int):
+    def __init__(self, table: pa.Table, order: int, bits: int):
         text = table.column("text").combine_chunks()
         text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
-        self.train = ~np.asarray(table.column("held_out").to_numpy(zero_copy_only=False), bool)
-        rows = len(self.train)
+        self.order, self.bits = order, bits
+        train = ~np.asarray(table.column("held_out").to_numpy(zero_copy_only=False), bool)
+        rows = len(train)
         pieces, lengths = [], []
         for _row, _end, buf, offs in _text.text_slices(text):
             starts, ends, first = _text.words(buf, offs, _text.SPACE_SEP)
@@ -65,78 +85,157 @@ class Grams:
             lengths.append(np.diff(first) + 1)
         self.length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         tokens = np.concatenate(pieces) if pieces else np.zeros(0, _U)
-        self.row = np.repeat(np.arange(rows), self.length)
+        row = np.repeat(np.arange(rows), self.length)
         self.first = np.concatenate(([0], np.cumsum(self.length)))[:-1]
-        since = np.arange(len(tokens)) - self.first[self.row]
-        even, odd = ~_U(1), _U(1)  # the last bit of a key: 0 for single tokens, which alone count for N and V
-        keys = [_text.mix(tokens) & even]
-        rolled = tokens
-        for k in range(1, order):
-            back = np.empty_like(tokens)
-            back[k:], back[:k] = tokens[: len(tokens) - k], _BEGIN
-            back[since < k] = _BEGIN
-            rolled = rolled * _U(0xD6E8FEB86659FD93) + _text.mix(back + _U(k))
-            keys.append(_text.mix(rolled) | odd)
-        begin = np.full(rows, _text.mix(np.array([_BEGIN]))[0] | odd, _U)  # one a row, as a history
-        flat = np.concatenate([*keys, begin])
-        self.keys, inverse = np.unique(flat, return_inverse=True)
-        odd_keys = (self.keys & odd) > 0
-        self.kinds = (np.flatnonzero(~odd_keys), np.flatnonzero(odd_keys))
-        self.index = inverse[: len(tokens) * order].reshape(order, -1)
-        self.begin = inverse[len(tokens) * order :]
-        taught = np.concatenate([np.tile(self.train[self.row], order), self.train])
-        self.counts = np.bincount(inverse, weights=taught, minlength=len(self.keys)).astype(np.int64)
+        self.since = np.arange(len(tokens)) - self.first[row]
+        taught = train[row]
+        rolled, spare = tokens, _U(64 - bits)
+        self.keys, self.places, self.index, self.counts = [], [], [], []
+        for k in range(order):
+            if k:
+                back = np.empty_like(tokens)
+                back[k:], back[:k] = tokens[: len(tokens) - k], _BEGIN
+                back[self.since < k] = _BEGIN
+                rolled = rolled * _U(0xD6E8FEB86659FD93) + _text.mix(back + _U(k))
+            keys, places, index = np.unique(_text.mix(rolled) >> spare, return_index=True, return_inverse=True)
+            self.keys.append(keys)
+            self.places.append(places)
+            self.index.append(index)
+            self.counts.append(np.bincount(index[taught], minlength=len(keys)))
 
 
 class Automaton:
-    """States and arcs for the n-grams of one bucket, with the whole corpus' counts."""
-
-    def __init__(self, grams: Grams, counts: np.ndarray, total: int, distinct: int):
-        self.grams, self.counts = grams, counts
-        self.total, self.floor = total, 0.5 / (total + 0.5 * (distinct + 1))
-
-    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
-        """Base and model log10 probability of every token."""
+    """States and arcs for the n-grams of one bucket, with the whole corpus' counts.
+
+    State 0 is the root, states 1 to order - 1 are the histories of that many begin signs, then follow the n-grams of
+    each order below the model's.
+    """
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], tokens: int, distinct: int, texts: int):
+        order = grams.order
+        self.grams, self.tokens_known = grams, counts[0] > 0
+        base = np.cumsum([order, *(len(k) for k in grams.keys[: order - 1])])  # the first state of each order
+        self.failure = np.zeros(base[-1], np.int64)
+        seen = np.zeros(base[-1], np.int64)
+        seen[1:order], self.failure[1:order] = texts, np.arange(order - 1)
+        for k in range(order - 1):
+            seen[base[k] : base[k + 1]] = counts[k]
+            if k:
+                self.failure[base[k] : base[k + 1]] = base[k - 1] + grams.index[k - 1][grams.places[k]]
+        self.failure_cost = np.log10(MU / (seen + MU))
+        unit = 1.0 / (tokens + 0.5 * (distinct + 1))
+        self.single = np.log10((counts[0] + 0.5) * unit)
+        self.unseen = math.log10(0.5 * unit)
+        self.width = max(1, len(grams.keys[0]))
+        self.start = order - 1
+        codes, costs, targets = [], [], []
+        p = (counts[0] + 0.5) * unit
+        for k in range(order):
+            at = grams.places[k]
+            if k:
+                before = grams.index[k - 1][np.maximum(at - 1, 0)] + base[k - 1]
+                source = np.where(grams.since[at] > 0, before, k)
+                history = seen[source]
+                p = (counts[k] + MU * p[grams.index[k - 1][at]]) / (history + MU)
+            else:
+                source = np.zeros(len(at), np.int64)
+            if k < order - 1:
+                target = base[k] + np.arange(len(at))
+            else:
+                target = base[k - 1] + grams.index[k - 1][at] if k else source
+            real = counts[k] > 0
+            codes.append((source * self.width + grams.index[0][at])[real])
+            costs.append(np.log10(p)[real])
+            targets.append(target[real])
+        flat = np.concatenate(codes)
+        by_code = np.argsort(flat)
+        self.codes = np.append(flat[by_code], np.iinfo(np.int64).max)
+        self.costs, self.targets = np.append(np.concatenate(costs)[by_code], 0.0), np.append(np.concatenate(targets)[by_code], 0)
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and the log10 probabilities of the tokens."""
+        cost = np.zeros(len(state))
+        following = np.zeros(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            code = state * self.width + token
+            arc = np.searchsorted(self.codes, code)
+            hit = self.codes[arc] == code
+            done = left[hit]
+            cost[done] += self.costs[arc[hit]]
+            following[done] = self.targets[arc[hit]]
+            miss = ~hit
+            left, state, token = left[miss], state[miss], token[miss]
+            root = state == 0
+            cost[left[root]] += self.unseen
+            left, state, token = left[~root], state[~root], token[~root]
+            cost[left] += self.failure_cost[state]
+            state = self.failure[state]
+        return following, cost
+
+    def traverse(self, segment: int = SEGMENT) -> np.ndarray:
+        """log10 probability of every token, from traversals of all texts' segments side by side."""
         g = self.grams
-        single = (self.counts[g.index[0]] + 0.5) * (2 * self.floor)
-        p = single
-        for k in range(1, len(g.index)):
-            history = self._history(k)
-            arc = self.counts[g.index[k]]
-            failure = MU / (history + MU)  # also 1 where there is no such state
-            p = np.where(arc > 0, (arc + MU * p) / (history + MU), failure * p)
-        return np.log10(single), np.log10(p)
-
-    def _history(self, k: int) -> np.ndarray:
-        """Count of the k tokens before each token: the n-gram of order k that ends at the token before."""
-        g = self.grams
-        out = np.zeros(g.index.shape[1], np.int64)
-        if len(out):
-            out[1:] = self.counts[g.index[k - 1][:-1]]
-            out[g.first] = self.counts[g.begin]  # begin signs alone, seen once a text
+        out = np.zeros(len(g.since))
+        parts = -(-g.length // segment)
+        of = np.repeat(np.arange(len(g.length)), parts)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = number * segment  # in its text
+        early = np.where(number > 0, np.minimum(g.order - 1, begin), 0)
+        length = np.minimum(segment, g.length[of] - begin) + early
+        first = g.first[of] + begin - early
+        state = np.where(begin > early, 0, self.start)
+        longest = np.argsort(-length, kind="stable")
+        length, first, early, state = length[longest], first[longest], early[longest], state[longest]
+        for k in range(int(length[0]) if len(length) else 0):
+            active = int(np.searchsorted(-length, -k, "left"))  # of those that are longer than k
+            at = first[:active] + k
+            state, cost = self.step(state[:active], g.index[0][at])
+            counted = k >= early[:active]
+            out[at[counted]] = cost[counted]
         return out
 
 
-def _first_key(shard: int, shards: int) -> int:
-    return (shard << 64) // shards
+def _first_key(part: int, parts: int, bits: int) -> int:
+    return (part << bits) // parts
 
 
-def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range of keys begins in sorted keys."""
-    edges = np.array([_first_key(s, shards) for s in range(1, shards)], _U)
+def _bounds(keys: np.ndarray, parts: range, of: int, bits: int) -> np.ndarray:
+    """Where each of these parts' (of so many) range of keys begins in sorted keys, and the end of the last."""
+    edges = np.array([_first_key(p, of, bits) for p in parts[1:]], _U)
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def _pack_keys(keys: np.ndarray, shard: int, shards: int, size: int) -> bytes:
-    spare = max(0, ((1 << 64) // shards).bit_length() - 8 * size)
-    short = (keys - _U(_first_key(shard, shards))) >> _U(spare)
-    return np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
-
-
-def _unpack_keys(raw: bytes, size: int) -> np.ndarray:
-    wide = np.zeros((len(raw) // size, 8), np.uint8)
-    wide[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
-    return wide.view("<u8").ravel()
+def pack_sorted(values: np.ndarray, span: int) -> bytes:
+    """Rising numbers below span: their high parts in unary steps, their low parts as whole bytes and remaining bits."""
+    n = len(values)
+    if not n:
+        return b""
+    low = max(0, (span // n).bit_length() - 1)
+    whole, rest = divmod(low, 8)
+    steps = np.zeros(n + (span >> low) + 1, np.uint8)
+    steps[(values >> _U(low)).astype(np.int64) + np.arange(n)] = 1
+    small = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(n, 8)
+    bits = (small[:, whole, None] >> np.arange(rest, dtype=np.uint8)) & 1 if rest else np.zeros(0, np.uint8)
+    head = np.array([n, low], "<u4").tobytes()
+    return head + small[:, :whole].T.tobytes() + np.packbits(bits).tobytes() + np.packbits(steps).tobytes()
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, _U)
+    n, low = np.frombuffer(raw, "<u4", 2).tolist()
+    whole, rest = divmod(low, 8)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :whole] = np.frombuffer(raw, np.uint8, n * whole, 8).reshape(whole, n).T
+    at = 8 + n * whole
+    if rest:
+        size = -(-n * rest // 8)
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * rest).reshape(n, rest)
+        wide[:, whole] = bits @ (1 << np.arange(rest, dtype=np.uint8))
+        at += size
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=at)))[:n] - np.arange(n)
+    return wide.view("<u8").ravel() | (high.astype(_U) << _U(low))
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
@@ -151,56 +250,104 @@ def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
-_ASKED = "bucket int, shard int, keys1 binary, counts1 binary, keys2 binary, counts2 binary"
-_ANSWERED = "bucket int, shard int, others1 binary, others2 binary, tokens long, distinct long"
+class Routes:
+    """How n-grams get to shards: straight, or by groups of shards and of buckets."""
+
+    def __init__(self, order: int, buckets: int, bits: int, messages: int):
+        self.order, self.bits, self.buckets = order, bits, buckets
+        self.two_levels = buckets * buckets > messages
+        self.groups = math.isqrt(buckets - 1) + 1 if self.two_levels else buckets
+        self.each = -(-buckets // self.groups)  # shards of a group
+        self.shards = self.groups * self.each
+        self.fields = ", ".join(f"keys{k} binary, counts{k} binary" for k in range(order))
+        self.totals = ", ".join(f"totals{k} binary" for k in range(order)) + ", tokens long, distinct long"
+
+    def send(self, keys: list[np.ndarray], counts: list[np.ndarray], parts: range, of: int) -> dict[str, pa.Array]:
+        """A message for each of these parts, of so many."""
+        out = {}
+        for k in range(self.order):
+            cuts = _bounds(keys[k], parts, of, self.bits)
+            packed = []
+            for j, p in enumerate(parts):
+                low, high = _first_key(p, of, self.bits), _first_key(p + 1, of, self.bits)
+                packed.append(pack_sorted(keys[k][cuts[j] : cuts[j + 1]] - _U(low), high - low))
+            out[f"keys{k}"] = pa.array(packed, pa.binary())
+            out[f"counts{k}"] = pa.array([_pack_counts(counts[k][cuts[j] : cuts[j + 1]]) for j in range(len(parts))], pa.binary())
+        return out
 
+    def receive(self, table: pa.Table, k: int, part: int, of: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Keys and counts of each message to a part."""
+        low = _U(_first_key(part, of, self.bits))
+        keys = [unpack_sorted(x) + low for x in table.column(f"keys{k}").to_pylist()]
+        return keys, [_unpack_counts(x, len(y)) for x, y in zip(table.column(f"counts{k}").to_pylist(), keys, strict=True)]
+
+    def ask(self, table: pa.Table) -> pa.Table:
+        """A bucket's messages."""
+        grams = Grams(table, self.order, self.bits)
+        bucket = table.column("bucket")[0].as_py()
+        to = range(self.groups)
+        place = {"bucket": pa.array(np.full(len(to), bucket, np.int32)), "part": pa.array(np.arange(len(to), dtype=np.int32)), "team": pa.array(np.full(len(to), bucket % self.groups, np.int32))}
+        return pa.table(place | self.send(grams.keys, grams.counts, to, self.groups))
+
+    def merge(self, table: pa.Table) -> pa.Table:
+        """The messages of a team of buckets to a group of shards, added up and cut by shard."""
+        team, group = table.column("team")[0].as_py(), table.column("part")[0].as_py()
+        added = [_added(*self.receive(table, k, group, self.groups))[:2] for k in range(self.order)]
+        to = range(group * self.each, (group + 1) * self.each)
+        place = {"bucket": pa.array(np.full(len(to), team, np.int32)), "part": pa.array(np.array(to, np.int32)), "team": pa.array(np.full(len(to), group, np.int32))}
+        return pa.table(place | self.send([a[0] for a in added], [a[1] for a in added], to, self.shards))
+
+    def answer(self, table: pa.Table) -> pa.Table:
+        """A shard's totals for each message."""
+        shard = table.column("part")[0].as_py()
+        out = {"bucket": table.column("bucket"), "part": table.column("part"), "team": table.column("team")}
+        for k in range(self.order):
+            keys, counts = self.receive(table, k, shard, self.shards)
+            _distinct, total, inverse = _added(keys, counts)
+            ends = np.cumsum([len(x) for x in keys])
+            out[f"totals{k}"] = pa.array([_pack_counts(x) for x in np.split(total[inverse], ends[:-1])], pa.binary())
+            if k == 0:
+                n, v = int(total.sum()), int((total > 0).sum())
+        out["tokens"] = pa.array(np.full(table.num_rows, n, np.int64))
+        out["distinct"] = pa.array(np.full(table.num_rows, v, np.int64))
+        return pa.table(out)
 
-def _ask(order: int, shards: int):
-    def run(table: pa.Table) -> pa.Table:
-        grams = Grams(table, order)
-        out = {"bucket": pa.array(np.full(shards, table.column("bucket")[0].as_py(), np.int32)), "shard": pa.array(np.arange(shards, dtype=np.int32))}
-        for k, (at, size) in enumerate(zip(grams.kinds, KEY_BYTES, strict=True), 1):
-            keys, counts = grams.keys[at], grams.counts[at]
-            bounds = _bounds(keys, shards)
-            out[f"keys{k}"] = pa.array([_pack_keys(keys[bounds[s] : bounds[s + 1]], s, shards, size) for s in range(shards)], pa.binary())
-            out[f"counts{k}"] = pa.array([_pack_counts(counts[bounds[s] : bounds[s + 1]]) for s in range(shards)], pa.binary())
+    def give_back(self, asked: pa.Table, answers: pa.Table) -> pa.Table:
+        """A team's answers from a group of shards, taken apart by bucket."""
+        group = asked.column("part")[0].as_py()
+        answers = answers.sort_by("part")
+        out = {"bucket": asked.column("bucket"), "part": asked.column("part"), "team": asked.column("team")}
+        for k in range(self.order):
+            keys, counts = self.receive(asked, k, group, self.groups)
+            distinct, _sum, inverse = _added(keys, counts)
+            cuts = np.diff(_bounds(distinct, range(group * self.each, (group + 1) * self.each), self.shards, self.bits))
+            total = np.concatenate([_unpack_counts(x, int(n)) for x, n in zip(answers.column(f"totals{k}").to_pylist(), cuts, strict=True)])
+            ends = np.cumsum([len(x) for x in keys])
+            out[f"totals{k}"] = pa.array([_pack_counts(x) for x in np.split(total[inverse], ends[:-1])], pa.binary())
+        for c in ("tokens", "distinct"):
+            out[c] = pa.array(np.full(asked.num_rows, sum(answers.column(c).to_pylist()), np.int64))
         return pa.table(out)
 
-    return run
 
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of all messages, the sums of their counts, and the index of each message's keys among them."""
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64), inverse
 
-def _answer(table: pa.Table) -> pa.Table:
-    out = {"bucket": table.column("bucket"), "shard": table.column("shard")}
-    n = v = 0
-    for k, size in enumerate(KEY_BYTES, 1):
-        keys = [_unpack_keys(x, size) for x in table.column(f"keys{k}").to_pylist()]
-        counts = [_unpack_counts(x, len(y)) for x, y in zip(table.column(f"counts{k}").to_pylist(), keys, strict=True)]
-        flat = np.concatenate(counts)
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=flat, minlength=len(distinct)).astype(np.int64)
-        if k == 1:
-            n, v = int(total.sum()), int((total > 0).sum())
-        others = total[inverse] - flat
-        ends = np.cumsum([len(c) for c in counts])
-        out[f"others{k}"] = pa.array([_pack_counts(x) for x in np.split(others, ends[:-1])], pa.binary())
-    out["tokens"] = pa.array(np.full(table.num_rows, n, np.int64))
-    out["distinct"] = pa.array(np.full(table.num_rows, v, np.int64))
-    return pa.table(out)
-
-
-def _score(order: int, shards: int):
+
+def _score(routes: Routes, texts: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         rows = docs.num_rows
-        grams = Grams(docs, order)
-        counts = grams.counts.copy()
-        for k, at in enumerate(grams.kinds, 1):
-            bounds = _bounds(grams.keys[at], shards)
-            for s, raw in zip(answers.column("shard").to_pylist(), answers.column(f"others{k}").to_pylist(), strict=True):
-                counts[at[bounds[s] : bounds[s + 1]]] += _unpack_counts(raw, int(bounds[s + 1] - bounds[s]))
+        grams = Grams(docs, routes.order, routes.bits)
+        answers = answers.sort_by("part")
+        counts = []
+        for k in range(routes.order):
+            sizes = np.diff(_bounds(grams.keys[k], range(routes.groups), routes.groups, routes.bits))
+            counts.append(np.concatenate([np.zeros(0, np.int64), *(_unpack_counts(x, int(n)) for x, n in zip(answers.column(f"totals{k}").to_pylist(), sizes, strict=bool(rows)))]))
         n = sum(answers.column("tokens").to_pylist())
-        base, score = Automaton(grams, counts, n, sum(answers.column("distinct").to_pylist())).traverse()
-        known = counts[grams.index[0]] > 0
-        per_row = [np.add.reduceat(x, grams.first) if rows else np.zeros(0) for x in (base, score, known.astype(np.int64))]
+        automaton = Automaton(grams, counts, n, sum(answers.column("distinct").to_pylist()), texts)
+        token = grams.index[0]
+        per_row = [np.add.reduceat(x, grams.first) if rows else np.zeros(0) for x in (automaton.single[token], automaton.traverse(), automaton.tokens_known[token].astype(np.int64))]
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
@@ -216,13 +363,22 @@ def _score(order: int, shards: int):
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, buckets: int | None = None, messages: int = MESSAGES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
+    marked = docs.select("doc_id", "text", held_out(5, 1).alias("held_out"))
+    size, texts = marked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     if buckets is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    marked = docs.select("doc_id", "text", held_out(5, 1).alias("held_out"))
+    routes = Routes(order, buckets, min(64, max(48, 16 + size.bit_length())), messages)
     dealt = marked.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    asked = dealt.groupBy("bucket").applyInArrow(_ask(order, buckets), _ASKED)
-    answers = asked.groupBy("shard").applyInArrow(_answer, _ANSWERED)
-    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(order, buckets), SCORED)
+    places = "bucket int, part int, team int"
+    asked = dealt.groupBy("bucket").applyInArrow(lambda table: routes.ask(table), f"{places}, {routes.fields}")
+    if routes.two_levels:
+        merged = asked.groupBy("team", "part").applyInArrow(lambda table: routes.merge(table), f"{places}, {routes.fields}")
+        totals = merged.groupBy("part").applyInArrow(lambda table: routes.answer(table), f"{places}, {routes.totals}")
+        # a merged message's bucket is its team, and its team the group of shards
+        back = totals.select(F.col("bucket").alias("team"), F.col("team").alias("group"), *(c for c in totals.columns if c not in ("bucket", "team")))
+        answers = asked.groupBy("team", "part").cogroup(back.groupBy("team", "group")).applyInArrow(lambda mine, theirs: routes.give_back(mine, theirs), f"{places}, {routes.totals}")
+    else:
+        answers = asked.groupBy("part").applyInArrow(lambda table: routes.answer(table), f"{places}, {routes.totals}")
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(routes, texts), SCORED)

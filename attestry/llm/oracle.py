@@ -63,13 +63,17 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w LEFT JOIN n O
     "op4_lm_scores": r"""
 WITH w AS (SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS w FROM documents),
 h AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)), lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 5 = 1 AS held_out, w FROM w),
-t AS (SELECT doc_id, held_out, i, w[i] AS tok, CASE WHEN i = 1 THEN ' begin' ELSE w[i - 1] END AS hist FROM h, LATERAL (SELECT unnest(generate_series(1, len(w))) AS i)),
-u AS (SELECT tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
-g AS (SELECT hist, tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1, 2),
-hc AS (SELECT hist, sum(c) AS c FROM g GROUP BY 1),
-k AS (SELECT sum(c) AS n, count(*) AS v FROM u),
-p AS (SELECT doc_id, held_out, coalesce(u.c, 0) > 0 AS known, (coalesce(u.c, 0) + 0.5::DOUBLE) / (k.n + 0.5::DOUBLE * (k.v + 1)) AS p1, coalesce(g.c, 0) AS cg, coalesce(hc.c, 0) AS ch, k.n FROM t LEFT JOIN u USING (tok) LEFT JOIN g USING (hist, tok) LEFT JOIN hc USING (hist), k)
-SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count_if(known) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10(p1)), 6) AS base_score, round(sum(log10((cg + 2000 * p1) / (ch + 2000))), 6) AS score FROM p GROUP BY 1
+t AS (SELECT doc_id, held_out, w[i] AS tok, CASE WHEN i = 1 THEN ' begin' ELSE w[i - 1] END AS one, CASE WHEN i <= 2 THEN ' begin' ELSE w[i - 2] END AS two FROM h, LATERAL (SELECT unnest(generate_series(1, len(w))) AS i)),
+u AS (SELECT tok, count(*) AS c1 FROM t WHERE NOT held_out GROUP BY 1),
+g AS (SELECT one, tok, count(*) AS c2 FROM t WHERE NOT held_out GROUP BY ALL),
+q AS (SELECT two, one, tok, count(*) AS c3 FROM t WHERE NOT held_out GROUP BY ALL),
+gh AS (SELECT one, sum(c2) AS h2 FROM g GROUP BY ALL),
+qh AS (SELECT two, one, sum(c3) AS h3 FROM q GROUP BY ALL),
+k AS (SELECT sum(c1) AS n, count(*) AS v FROM u),
+p AS (SELECT doc_id, held_out, coalesce(c1, 0) > 0 AS known, (coalesce(c1, 0) + 0.5::DOUBLE) / (k.n + 0.5::DOUBLE * (k.v + 1)) AS p1, coalesce(c2, 0) AS c2, coalesce(h2, 0) AS h2, coalesce(c3, 0) AS c3, coalesce(h3, 0) AS h3, k.n
+  FROM t LEFT JOIN u USING (tok) LEFT JOIN g USING (one, tok) LEFT JOIN gh USING (one) LEFT JOIN q USING (two, one, tok) LEFT JOIN qh USING (two, one), k)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, CAST(count_if(known) AS BIGINT) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10(p1)), 6) AS base_score,
+  round(sum(log10((c3 + 2000 * ((c2 + 2000 * p1) / (h2 + 2000))) / (h3 + 2000))), 6) AS score FROM p GROUP BY 1
 """,
     "op9_chat_prefix_tree": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),

@@ -21,8 +21,30 @@ def tokens(text):
     return WORD.findall("".join(c.lower() if c.isascii() else c for c in text or "")) + ["</end>"]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_against_brute_force(spark, order):
+def test_sorted_numbers_are_packed_and_unpacked():
+    rng = np.random.default_rng(1)
+    for n, span in [(0, 10), (1, 1), (1, 1 << 60), (5, 5), (300, 1 << 40), (300, 1000), (2000, 1 << 13), (1, 1 << 64)]:
+        values = np.unique(rng.integers(0, span, n, dtype=np.uint64)) if span < 1 << 64 else np.array([(1 << 64) - 1], np.uint64)
+        raw = lm_score.pack_sorted(values, span)
+        assert lm_score.unpack_sorted(raw).tolist() == values.tolist()
+    values = np.unique(rng.integers(0, 1 << 40, 1 << 14, dtype=np.uint64))
+    assert len(lm_score.pack_sorted(values, 1 << 40)) * 8 <= len(values) * (40 - 14 + 2.6) + 200
+
+
+def test_segments_enter_the_automaton_where_the_whole_text_is():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("a b c d e f g".split()) for _ in range(n)) for n in (0, 1, 2, 50, 400)]
+    table = __import__("pyarrow").table({"text": texts, "held_out": [False, True, False, True, False]})
+    grams = lm_score.Grams(table, 4, 60)
+    counts = [c.astype(np.int64) for c in grams.counts]
+    automaton = lm_score.Automaton(grams, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), 3)
+    whole = automaton.traverse(1000)
+    for size in (1, 2, 3, 7, 64):
+        assert np.allclose(automaton.traverse(size), whole)
+
+
+@pytest.mark.parametrize("order,messages", [(1, 100), (2, 100), (3, 100), (3, 1), (4, 1)])
+def test_lm_against_brute_force(spark, order, messages):
     rng = random.Random(4)
     docs = [(i, " ".join(rng.choice("a b c d e f gg hh Ii é".split()) for _ in range(rng.choice([0, 1, 3, 30])))) for i in range(60)] + [(61, None), (61, None), (None, "a b"), (62, "q " * 2000)]
     counts = Counter()
@@ -50,7 +72,7 @@ def test_lm_against_brute_force(spark, order):
             score += math.log10(p)
         want.append((d, crc(d, 5) == 1, len(seq), sum(counts[(w,)] > 0 for w in seq), N, base, score))
     frame = spark.createDataFrame([(d, t, "", "", 1) for d, t in docs], SCHEMA)
-    got = sorted(map(tuple, lm_score.lm_scores(frame, order, buckets=4).collect()), key=str)
+    got = sorted(map(tuple, lm_score.lm_scores(frame, order, buckets=7 if messages == 1 else 4, messages=messages).collect()), key=str)
     want.sort(key=str)
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5] and np.allclose(g[5:], w[5:], rtol=1e-9, atol=1e-5), (g, w)
