@@ -73,7 +73,7 @@ k AS (SELECT sum(c1) AS n, count(*) AS v FROM u),
 p AS (SELECT doc_id, held_out, coalesce(c1, 0) > 0 AS known, (coalesce(c1, 0) + 0.5::DOUBLE) / (k.n + 0.5::DOUBLE * (k.v + 1)) AS p1, coalesce(c2, 0) AS c2, coalesce(h2, 0) AS h2, coalesce(c3, 0) AS c3, coalesce(h3, 0) AS h3, k.n
   FROM t LEFT JOIN u USING (tok) LEFT JOIN g USING (one, tok) LEFT JOIN gh USING (one) LEFT JOIN q USING (two, one, tok) LEFT JOIN qh USING (two, one), k)
 SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, CAST(count_if(known) AS BIGINT) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10(p1)), 6) AS base_score,
-  round(sum(log10((c3 + 2000 * ((c2 + 2000 * p1) / (h2 + 2000))) / (h3 + 2000))), 6) AS score FROM p GROUP BY 1
+  round(sum(log10((c3 + 200 * ((c2 + 200 * p1) / (h2 + 200))) / (h3 + 200))), 6) AS score FROM p GROUP BY 1
 """,
     "op9_chat_prefix_tree": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
