@@ -51,7 +51,7 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Stands for the second token of a token that is alone.
 _ALONE = (1 << 32) - 1
 
-_OPEN: dict[str, Encoder] = {}
+_OPEN: dict[tuple[str, bool], Encoder] = {}
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -83,11 +83,12 @@ def _rank_encoder(spec: dict):
     return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker."""
-    if path not in _OPEN:
-        _OPEN[path] = Encoder(path)
-    return _OPEN[path]
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """One encoder for each file and worker; special strings inside texts as the library's default has it, or as ordinary text."""
+    key = path, special_as_text
+    if key not in _OPEN:
+        _OPEN[key] = Encoder(path, special_as_text=special_as_text)
+    return _OPEN[key]
 
 
 class _Sentences:
@@ -137,7 +138,7 @@ class Spans:
 
 
 class Encoder:
-    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
+    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, special_as_text: bool = False):
         self.chunk, self.overlap, self.widened, self.spliced = chunk, overlap, 0, 0
         self.seen: dict[str, bytes | None] = {}
         self.pairs: dict[int, bool] = {}
@@ -148,11 +149,16 @@ class Encoder:
             self.library = _Library(path)
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
-            self.special = tuple(t["content"] for t in spec["added_tokens"])
+            self.library.model.encode_special_tokens = special_as_text
+            self.special = () if special_as_text else tuple(t["content"] for t in spec["added_tokens"])
             self.usual = _usual(spec)
             self.ranked = _rank_encoder(spec) if self.usual else None
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
 
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """The texts of a byte-level file's ids, without loss."""
+        return self.library.model.decode_batch(ids, skip_special_tokens=False)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x, self.dtype).tobytes() for x in self.library.ids(texts)]
 

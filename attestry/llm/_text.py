@@ -96,7 +96,25 @@ def words(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.ndarra
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word, A-Z taken as a-z."""
+    """64-bit hash of every word, A-Z taken as a-z; in stretches of SLICE_BYTES, so that a very long text needs no more memory for it."""
+    if len(buf) <= 2 * SLICE_BYTES:
+        return _word_hashes(buf, starts, ends)
+    out = np.empty(len(starts), _U)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, "right")))
+        low = starts[a]
+        out[a:b] = _word_hashes(buf[low : ends[b - 1]], starts[a:b] - low, ends[a:b] - low)
+        a = b
+    return out
+
+
+def code_points(raw: np.ndarray) -> np.ndarray:
+    """For each byte of a text, and its end, the code points before it."""
+    return np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+
+
+def _word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, _U)
     np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])

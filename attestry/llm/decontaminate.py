@@ -95,12 +95,13 @@ class WindowSet:
         return out
 
 
-def _spans(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes) -> list[dict]:
+def _spans(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: np.ndarray) -> list[dict]:
     """Code point spans of the runs of marked words."""
     if not mask.any():
         return []
+    place = _text.code_points(raw)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-    return [{"start": len(raw[: starts[a]].decode()), "end": len(raw[: ends[b - 1]].decode())} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    return [{"start": int(place[starts[a]]), "end": int(place[ends[b - 1]])} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
 def _items(benchmark: DataFrame, n: int) -> list[list[tuple[object, str | None]]]:
@@ -108,15 +109,23 @@ def _items(benchmark: DataFrame, n: int) -> list[list[tuple[object, str | None]]
     sized = benchmark.select("item_id", "text").withColumn("_w", F.greatest(F.lit(1), F.coalesce(F.octet_length("text"), F.lit(0)) / 2))
     total = sized.agg(F.sum("_w")).first()[0] or 0
     parts = max(1, int(-(-total // MAX_WINDOWS)))
-    dealt = sized.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    while True:
+        dealt = sized.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+        over = dealt.groupBy("_b").agg(F.sum("_w").alias("_s"), F.count_distinct("item_id", "text").alias("_n")).filter((F.col("_s") > MAX_WINDOWS) & (F.col("_n") > 1))
+        if parts == 1 and total <= MAX_WINDOWS or over.isEmpty():
+            break
+        parts *= 2
     return [dealt.filter(F.col("_b") == b).select("item_id", "text") for b in range(parts)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (code points) and item_ids (sorted as strings)."""
     spark = docs.sparkSession
-    out = docs
+    out, windows = docs, None
     for k, block in enumerate(_items(benchmark, n)):
+        if windows is not None:  # one block's windows at a time, here and on the executors
+            out = _text.written(out)
+            windows.destroy()
         windows = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in block.collect()], n))
 
         def make(batch: pa.RecordBatch, windows=windows, again=k > 0) -> list:
@@ -125,14 +134,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
             for row, _end, buf, offs in _text.text_slices(text):
                 for r, (n_words, mask, items, starts, ends) in enumerate(windows.value.scan(buf, offs)):
                     if again and (mask.any() or len(batch.column("hit_spans")[row + r])):
-                        raw = buf[offs[r] : offs[r + 1]].tobytes()
+                        place = _text.code_points(buf[offs[r] : offs[r + 1]])
                         for span in batch.column("hit_spans")[row + r].as_py():
-                            a, b = (len(raw.decode()[: span[x]].encode()) for x in ("start", "end"))
+                            a, b = (int(np.searchsorted(place, span[x], "right")) - 1 for x in ("start", "end"))
                             mask = mask | ((starts >= a) & (ends <= b))
                         items = items | set(batch.column("item_ids")[row + r].as_py())
                     cols[0].append(n_words)
                     cols[1].append(int(mask.sum()))
-                    cols[2].append(_spans(mask, starts, ends, buf[offs[r] : offs[r + 1]].tobytes()) if mask.any() else [])
+                    cols[2].append(_spans(mask, starts, ends, buf[offs[r] : offs[r + 1]]) if mask.any() else [])
                     cols[3].append(sorted(items))
             return [pa.array(c, t) for c, t in zip(cols, _ARROW, strict=True)]
 

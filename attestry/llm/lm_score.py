@@ -59,7 +59,7 @@ from attestry.llm.language import held_out
 ORDER = 3
 #: Weight of the shorter history, in tokens; of 20 to 20,000 the best of those tried on held-out documents.
 MU = 200.0
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 MESSAGES = 1 << 26
 #: Tokens of a text that one traversal reads.
 SEGMENT = 512
@@ -87,7 +87,7 @@ class Grams:
         tokens = np.concatenate(pieces) if pieces else np.zeros(0, _U)
         row = np.repeat(np.arange(rows), self.length)
         self.first = np.concatenate(([0], np.cumsum(self.length)))[:-1]
-        self.since = np.arange(len(tokens)) - self.first[row]
+        self.since = (np.arange(len(tokens)) - self.first[row]).astype(np.int32)
         taught = train[row]
         rolled, spare = tokens, _U(64 - bits)
         self.keys, self.places, self.index, self.counts = [], [], [], []
@@ -100,7 +100,7 @@ class Grams:
             keys, places, index = np.unique(_text.mix(rolled) >> spare, return_index=True, return_inverse=True)
             self.keys.append(keys)
             self.places.append(places)
-            self.index.append(index)
+            self.index.append(index.astype(np.int32))
             self.counts.append(np.bincount(index[taught], minlength=len(keys)))
 
 
@@ -144,10 +144,11 @@ class Automaton:
             else:
                 target = base[k - 1] + grams.index[k - 1][at] if k else source
             real = counts[k] > 0
-            codes.append((source * self.width + grams.index[0][at])[real])
+            codes.append((source.astype(np.int64) * self.width + grams.index[0][at])[real])
             costs.append(np.log10(p)[real])
             targets.append(target[real])
         flat = np.concatenate(codes)
+        del codes
         by_code = np.argsort(flat)
         self.codes = np.append(flat[by_code], np.iinfo(np.int64).max)
         self.costs, self.targets = np.append(np.concatenate(costs)[by_code], 0.0), np.append(np.concatenate(targets)[by_code], 0)

@@ -77,7 +77,8 @@ def op9_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return digest(prefix_tree(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digest(prefix_tree(given, tokenizer_path()), tokenizer_path())
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,10 @@ others stay those of the response; names compare in lower case.
 Defined cases: null URLs resolve to nothing ("no_url"), as do revisits without
 an earlier response ("no_original"); a response at the very time of a revisit
 isn't earlier; of responses at one time the one of largest record id is the
-latest; repeated rows each give a row; null headers are none; full responses
-aren't returned.  More columns are ignored.
+latest; repeated rows each give a row; null headers are none, and of header
+names that differ in case alone the first in code point order counts; a very
+long value is taken whole; full responses aren't returned; an empty table gives
+none.  More columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,8 +54,11 @@ def _weak(tag: Column) -> Column:
 
 
 def _lower_keys(headers: Column) -> Column:
-    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    return F.coalesce(F.map_from_entries(entries), F.create_map().cast("map<string,string>"))
+    """Headers by lower-case names; of names that differ in case alone, the value of the least (capitals first) counts."""
+    names = F.array_distinct(F.transform(F.map_keys(headers), F.lower))
+    of = lambda n: F.array_min(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == n))["value"]
+    unique = F.transform(names, lambda n: F.struct(n.alias("key"), of(n).alias("value")))
+    return F.coalesce(F.map_from_entries(unique), F.create_map().cast("map<string,string>"))
 
 
 def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:

@@ -33,6 +33,7 @@ added here, which replace columns of the same name.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,13 @@ class Scorer:
         self.base = float(toxic.sum() / max(1.0, toxic.sum() + clean.sum()))
         self.scale, self.k = 1.0, 0.1
 
+    def __getstate__(self) -> dict:
+        """Compressed, as broadcasts lie on every executor's disk."""
+        return self.__dict__ | {c: zlib.compress(getattr(self, c).tobytes(), 1) for c in ("toxic", "seen")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {c: np.frombuffer(zlib.decompress(state[c]), np.float32) for c in ("toxic", "seen")})
+
     def scores(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts) or not 0 < self.base < 1:
             return np.full(len(starts), -DRIFT)
@@ -261,8 +269,8 @@ def score(docs: DataFrame, scorer: Scorer, curve: np.ndarray) -> DataFrame:
             measured = scorer.measure(buf, offs)
             scores += np.round(1 / (1 + np.exp(-np.clip(_features(measured) @ curve, -30, 30))), 9).tolist()
             for r, (*_, spans) in enumerate(measured):
-                raw = buf[offs[r] : offs[r + 1]].tobytes() if spans else b""
-                passages.append([{"start": len(raw[:a].decode()), "end": len(raw[:b].decode()), "score": s} for a, b, s in spans])
+                place = _text.code_points(buf[offs[r] : offs[r + 1]]) if spans else []
+                passages.append([{"start": int(place[a]), "end": int(place[b]), "score": s} for a, b, s in spans])
         return [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, _PASSAGES)]
 
     return _text.append_arrow(docs, FIELDS, make)

@@ -50,5 +50,26 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in P.run(spark, folder).collect()} == set(kept["decontamination"])
 
 
+def test_columns_of_other_names_stay_as_they_are(spark, tmp_path):
+    folder = str(tmp_path)
+    corpus(folder, spark)
+    more = ["score", "predicted", "held_out", "n_words", "_sid", "lang_pred", "passages", "hit_spans", "_column0", "component"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *(f"concat('{c} ', doc_id) AS {c}" for c in more))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in more), name
+
+
+def test_text_of_an_unknown_language_goes(spark, tmp_path):
+    folder = str(tmp_path)
+    corpus(folder, spark)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    strange = spark.createDataFrame([(900, "опознать чужую письменность легко ведь буквы другие", None, "s", 50), (901, "漢字仮名交じり文", None, "s", 8)], DOCS)
+    kept = {r.doc_id for r in P.drop_unknown_language(spark, docs.unionByName(strange), folder).collect()}
+    assert not kept & {900, 901, 304, 305, 306} and len(kept) == 243
+
+
 def test_keep_one_of_an_empty_table(spark):
     assert keep_one(spark.createDataFrame([], DOCS)).count() == 0

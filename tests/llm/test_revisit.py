@@ -58,3 +58,9 @@ def test_brute_force(spark, slices):
 
 def test_empty(spark):
     assert R.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_header_names_that_differ_in_case(spark):
+    rows = [(1, "http://a.b/c", 1, "response", "d", {"ETag": "x", "etag": "y", "Server": None, "server": "s"}, 0), (2, "http://a.b/c", 2, "revisit", None, {"etag": "x"}, 0)]
+    got = R.resolve(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.status, r.headers["etag"], r.headers["server"]) for r in got] == [("resolved", "x", None)]

@@ -104,6 +104,28 @@ def test_language(spark):
     assert language.language_id(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_letters_are_those_of_unicode():
+    kind = language._tables()[0]
+    assert all((kind[cp] > 0) == chr(cp).isalpha() for cp in (65, 0xE9, 0x4E00, 0x2FFFE, 0x30000, 0x32000, 0x10FFFF, 0x31, 0x20))
+
+
+def test_language_end_to_end(spark):
+    """Against a plain version: bundles by hand, prototypes of rounded unit bundles, cosine by hand."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, lang, 6), lang, "c", 1) for i, lang in enumerate(sorted(LETTERS) * 12)]
+    kind, first, second, third = (t.astype(np.int64) for t in language._tables())
+    def bundle(text):
+        k = [0, *(int(kind[ord(c)]) for c in text), 0]
+        total = sum((first[k[i - 1]] * second[k[i]] * third[k[i + 1]] for i in range(1, len(k) - 1) if k[i]), np.zeros(language.DIMENSIONS))
+        return total / np.linalg.norm(total)
+    units = {i: bundle(t) for i, t, *_ in rows}
+    protos = {lang: sum(np.round(units[i] * language.SCALE) for i, _, given, *_ in rows if given == lang and crc(i, 4) != 2) for lang in LETTERS}
+    for r in language.language_id(spark.createDataFrame(rows, SCHEMA)).collect():
+        cosines = {lang: float(units[r.doc_id] @ p / np.linalg.norm(p)) for lang, p in protos.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert r.lang_pred == best and abs(r.score - (1 + cosines[best]) / 2) < 1e-5
+
+
 def test_bundle_is_the_sum_of_bound_trigrams():
     kind, first, second, third = language._tables()
     raw = "Ab é1xyz".encode()
@@ -139,7 +161,7 @@ def test_segments_against_the_definition():
         assert got == [(a, b) for a, b in brute_segments(v.tolist())], v
 
 
-def test_toxicity(spark):
+def test_toxicity(spark, monkeypatch):
     rng = random.Random(9)
     vocab, bad = [f"w{i}" for i in range(300)], ["vile", "awful", "nasty"]
     rows, labels = [], []
@@ -162,6 +184,10 @@ def test_toxicity(spark):
     assert got[900].predicted == got[901].predicted == 0 and got[902].predicted == 1 and len(got[902].passages) >= 1
     text = got[902].text
     assert any("vile" in text[p.start : p.end].lower() for p in got[902].passages)
+    many = docs.unionByName(spark.createDataFrame([(4, f"w{i} w{i + 1} text of one id", "en", "c", 1) for i in range(60)], SCHEMA))
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 50)
+    assert toxicity._sample(many, lab).count() == 50
+    monkeypatch.undo()
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, none).agg({"predicted": "sum"}).first()[0] == 0
     assert toxicity.toxicity(spark.createDataFrame([], SCHEMA), lab).count() == 0
