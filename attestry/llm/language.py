@@ -119,8 +119,8 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     return {k: v / np.sqrt((v * v).sum()) for k, v in sorted(out.items()) if v.any()}
 
 
-#: Cosine that a text of unrelated trigrams passes about once in 30,000: four standard deviations of its distribution around 0.
-CHANCE = 4 / DIMENSIONS**0.5
+#: Cosine that a text of unrelated trigrams passes about once in 700: three standard deviations of its distribution around 0.
+CHANCE = 3 / DIMENSIONS**0.5
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
