@@ -17,6 +17,8 @@ from attestry.llm.queries import tokenizer_path
 
 #: Language scores below this are no text of any learned language: unrelated trigrams reach that cosine by chance.
 MIN_LANGUAGE_SCORE = (1 + language.CHANCE) / 2
+#: Distinct words, or distinct characters, from which on a text says enough to be rejected for its score.
+TELLING_WORDS, TELLING_CHARACTERS = 16, 40
 #: Columns that the stages read; all others travel under names that no operator uses.
 READ = ["doc_id", "text", "lang"]
 
@@ -40,10 +42,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose profile is no nearer to a learned language than chance.
 
-    Null and empty texts go; rows of null lang teach nothing but are judged, all of them going where nothing can be learned;
+    Texts of few distinct words and characters say too little for that and stay. Null and empty texts go; rows of null lang teach nothing but are judged, all of them going where nothing can be learned;
     repeated rows are each judged; an empty table stays empty.
     """
-    return _kept(docs, lambda rows: language.language_id(rows).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)))
+    distinct = lambda pattern: F.size(F.array_distinct(F.split(F.lower("text"), pattern)))
+    telling = (distinct("[\\x20\\x09-\\x0D]+") >= TELLING_WORDS) | (distinct("") >= TELLING_CHARACTERS)
+    known = (F.col("score") >= MIN_LANGUAGE_SCORE) | ~telling
+    return _kept(docs, lambda rows: language.language_id(rows).filter((F.col("lang_pred") != "und") & known))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
