@@ -33,7 +33,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from itertools import chain
 
 import numpy as np
@@ -43,15 +42,16 @@ MAX_ENTRIES = 600_000
 #: Pairs after which a worker proves them anew (about 100 bytes each).
 MAX_PAIRS = 1_000_000
 #: Characters of a chunk of a huge text, and of the first overlap.
-CHUNK, OVERLAP = 1 << 14, 1 << 8
+CHUNK, OVERLAP = 1 << 16, 1 << 8
 
-_PLAIN = re.compile("[!-~\\nÀ-ÖØ-öø-ÿ]*")
+#: Plain pieces: no white space but line breaks inside.
+_PLAIN = re.compile("[!-~\\nÀ-ÖØ-öø-ÿ]*[!-~À-ÖØ-öø-ÿ]")
 #: How byte-level files usually split a text; a fixed value.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stands for the second token of a token that is alone.
 _ALONE = (1 << 32) - 1
 
-_OPEN: dict[tuple[str, bool], Encoder] = {}
+_OPEN: dict[tuple[str, bool, int], Encoder] = {}
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -83,11 +83,11 @@ def _rank_encoder(spec: dict):
     return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
+def encoder(path: str, special_as_text: bool = False, chunk: int = CHUNK) -> Encoder:
     """One encoder for each file and worker; special strings inside texts as the library's default has it, or as ordinary text."""
-    key = path, special_as_text
+    key = path, special_as_text, chunk
     if key not in _OPEN:
-        _OPEN[key] = Encoder(path, special_as_text=special_as_text)
+        _OPEN[key] = Encoder(path, chunk, special_as_text=special_as_text)
     return _OPEN[key]
 
 
@@ -142,7 +142,7 @@ class Encoder:
         self.chunk, self.overlap, self.widened, self.spliced = chunk, overlap, 0, 0
         self.seen: dict[str, bytes | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.usual, self.special, self.ranked = False, (), None
+        self.usual, self.special, self.ranked, self.tab = False, (), None, None
         if path.endswith(".model"):
             self.library: _Library | _Sentences = _Sentences(path)
         else:
@@ -153,6 +153,7 @@ class Encoder:
             self.special = () if special_as_text else tuple(t["content"] for t in spec["added_tokens"])
             self.usual = _usual(spec)
             self.ranked = _rank_encoder(spec) if self.usual else None
+            self.tab = self.ranked.encode_ordinary("\t")[0] if self.ranked else None
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -182,34 +183,40 @@ class Encoder:
         for (code, tokens), ids in zip(asked, self.library.ids(texts), strict=True):
             self.pairs[code] = ids == tokens
 
-    def _proven(self, proposals: list[list[int]]) -> np.ndarray:
-        """Whether the library agrees with all of each proposal."""
-        lengths = np.array([len(x) for x in proposals])
-        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(lengths.sum()))
-        last = np.cumsum(lengths) - 1
-        following = np.append(flat[1:], 0)
-        following[last[lengths > 1]] = -1  # nothing to prove: the token is in the pair before
-        following[last[lengths == 1]] = _ALONE
+    def _proven(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether the library agrees with all of each proposal; ids of all of them, and where each starts."""
+        following = np.append(ids[1:], 0).astype(np.int64)
+        last = np.append(starts[1:], len(ids)) - 1
+        following[last] = np.where(last == starts, _ALONE, -1)  # -1: nothing to prove, the token is in the pair before
         real = following >= 0
-        codes, inverse = np.unique((flat[real] << 32) | following[real], return_inverse=True)
+        codes, inverse = np.unique((ids[real].astype(np.int64) << 32) | following[real], return_inverse=True)
         known = codes.tolist()
         self._prove([c for c in known if c not in self.pairs])
-        right = np.ones(len(flat), bool)
+        right = np.ones(len(ids), bool)
         right[real] = np.array([self.pairs.get(c, False) for c in known], bool)[inverse]
-        return np.logical_and.reduceat(right, last - lengths + 1)
+        return np.logical_and.reduceat(right, starts)
+
+    def _propose(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces, each with its space, and where each starts; a tab between them is a word of the splitter."""
+        ids = np.array(self.ranked.encode_ordinary(" " + "\t ".join(pieces)), np.uint32)
+        tabs = np.flatnonzero(ids == self.tab)
+        return np.delete(ids, tabs), np.append(0, tabs - np.arange(len(tabs)))
 
     def _spaced(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each with its space."""
         if self.ranked is None or not pieces:
             return self._whole([" " + p for p in pieces])
-        plain, kind, propose = _PLAIN.fullmatch, self.dtype.char, self.ranked.encode_ordinary
+        plain = _PLAIN.fullmatch
         out: list[bytes | None] = [None] * len(pieces)
         at = [k for k, p in enumerate(pieces) if plain(p) and "<|" not in p]
         if at:
-            proposals = [propose(" " + pieces[k]) for k in at]
-            for k, ids, right in zip(at, proposals, self._proven(proposals).tolist(), strict=True):
-                if right:
-                    out[k] = array(kind, ids).tobytes()
+            ids, starts = self._propose([pieces[k] for k in at])
+            right = self._proven(ids, starts).tolist()
+            raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            edges = [*(starts * size).tolist(), len(raw)]
+            for k, low, high, ok in zip(at, edges, edges[1:], right):
+                if ok:
+                    out[k] = raw[low:high]
         rest = [k for k, x in enumerate(out) if x is None]
         for k, ids in zip(rest, self._whole([" " + pieces[k] for k in rest]), strict=True):
             out[k] = ids

@@ -1,6 +1,6 @@
 """Token counts by overlap resynchronisation (see ``_bpe`` for the splicing).
 
-Texts of more than ``_bpe.CHUNK`` characters go to the library in overlapping
+Texts of more than ``CHUNK`` characters go to the library in overlapping
 chunks with offsets, spliced at proven common boundaries, so a worker holds the
 encoding of two chunks of a huge text, not of all of it; shorter ones are
 encoded at once, by their cached pieces.
@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 
 from attestry.llm import _bpe, _text
 
+#: Characters from which on a text is taken in chunks.
+CHUNK = 1 << 14
+
 FIELDS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
 
@@ -26,7 +29,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit); tokenizer: a file that every executor can open."""
 
     def make(batch: pa.RecordBatch) -> list:
-        enc = _bpe.encoder(tokenizer)
+        enc = _bpe.encoder(tokenizer, chunk=CHUNK)
         n_bytes, n_tokens = [], []
         for row, end, _buf, offs in _text.text_slices(batch.column("text")):
             texts = [t or "" for t in batch.column("text")[row:end].to_pylist()]

@@ -79,8 +79,9 @@ def test_proposals_are_proven_by_pairs():
     pieces = [p for p in pieces if not p[0].isspace()]
     assert [np.frombuffer(x, enc.dtype).tolist() for x in enc._spaced(pieces)] == [library_ids(" " + p) for p in pieces]
     assert any(enc.pairs.values()) and not all(enc.pairs.values())
-    wrong = enc.ranked.encode_ordinary(" ") + enc.ranked.encode_ordinary("the")
-    assert enc._proven([enc.ranked.encode_ordinary(" the"), wrong]).tolist() == [True, False]
+    proposals = [enc.ranked.encode_ordinary(" the"), enc.ranked.encode_ordinary(" ") + enc.ranked.encode_ordinary("the"), enc.ranked.encode_ordinary(" it")]
+    ids = np.array([i for p in proposals for i in p], np.uint32)
+    assert enc._proven(ids, np.cumsum([0, *map(len, proposals)])[:-1]).tolist() == [True, False, True]
 
 
 def test_other_files_get_whole_texts():
