@@ -91,6 +91,32 @@ def leakage(parts: DataFrame, name: str, member: str) -> DataFrame:
     return pairs.groupBy("q.left_part", "q.right_part").agg(F.count("*").alias("shared"))
 
 
+def assert_disjoint(parts: DataFrame, name: str, member: str) -> DataFrame:
+    """parts, if no two of them share a member; an error that names the first pair otherwise."""
+    first = leakage(parts, name, member).orderBy("left_part", "right_part").first()
+    if first:
+        raise ValueError(f"{first.left_part} and {first.right_part} share {first.shared} members")
+    return parts
+
+
+def preferred_first(rows: DataFrame, key: str, preferred: Column, order: list[str]) -> DataFrame:
+    """For each key one row: the first (by order) that is preferred, or the first at all."""
+    rank = F.struct(F.when(preferred, 0).otherwise(1).alias("_p"), *order)
+    return rows.groupBy(key).agg(F.min_by(F.struct(*(c for c in rows.columns if c != key)), rank).alias("_r")).select(key, "_r.*")
+
+
+def benchmark_errors(manifest: DataFrame, parts: DataFrame, expected: list[str], files: DataFrame | None = None) -> DataFrame:
+    """(subject, rule) of everything wrong with a benchmark: broken manifest rules, pairs of parts that share members, and expected parts without any.
+
+    parts: part, member (a path).
+    """
+    rules = manifest_errors(manifest, files).select(F.col("sample_id").cast("string").alias("subject"), "rule")
+    shared = leakage(parts, "part", "member").select(F.concat_ws("+", "left_part", "right_part").alias("subject"), F.lit("leakage").alias("rule"))
+    wanted = manifest.sparkSession.createDataFrame([(e,) for e in expected], "subject string")
+    missing = wanted.join(parts.select(F.col("part").cast("string").alias("subject")).distinct(), "subject", "left_anti").select("subject", F.lit("missing_part").alias("rule"))
+    return rules.unionByName(shared).unionByName(missing)
+
+
 #: Attack and shift types that a manifest may name; fixed values.
 ATTACKS = ["label_flip", "systematic_mislabel", "near_duplicate_flood", "ood_insertion", "corner", "blended", "spectral"]
 SHIFTS = ["illumination", "blur", "noise", "weather", "compression"]

@@ -93,10 +93,11 @@ def proof_root(leaf: Column, proof: Column) -> Column:
     return F.aggregate(F.coalesce(proof, F.array().cast("array<struct<level:int,side:string,hash:string>>")), F.lower(leaf), lambda acc, p: F.when(p["side"] == "left", pair_hash(p["hash"], acc)).otherwise(pair_hash(acc, p["hash"])))
 
 
-def latest_anchor(requests: DataFrame, events: DataFrame) -> DataFrame:
+def latest_anchor(requests: DataFrame, events: DataFrame, by_asset_too: bool = True) -> DataFrame:
     """For each request (request_id, asset_id) its anchor: the event EVT-INF-<asset>, else the event of that very id, else the newest of the asset with a hash.
 
     events: event_id, asset_id, position, hash. Each tier is an equality join; the best of at most three rows stays.
+    Without by_asset_too there is no third tier, as in the ledger's own contract code.
     """
     hashed = events.filter(F.col("hash").isNotNull())
     by_id = hashed.groupBy("event_id").agg(F.max_by(F.struct("event_id", "hash"), "position").alias("e"))
@@ -104,7 +105,8 @@ def latest_anchor(requests: DataFrame, events: DataFrame) -> DataFrame:
     named = requests.withColumn("_k", F.concat(F.lit("EVT-INF-"), F.col("asset_id"))).join(by_id, F.col("_k") == F.col("event_id")).select("request_id", F.lit(1).alias("tier"), "e")
     same = requests.join(by_id, F.col("asset_id") == F.col("event_id")).select("request_id", F.lit(2).alias("tier"), "e")
     newest = requests.join(by_asset, "asset_id").select("request_id", F.lit(3).alias("tier"), "e")
-    best = named.unionByName(same).unionByName(newest).groupBy("request_id").agg(F.min_by(F.struct("tier", "e.event_id", "e.hash"), "tier").alias("b"))
+    tiers = named.unionByName(same).unionByName(newest) if by_asset_too else named.unionByName(same)
+    best = tiers.groupBy("request_id").agg(F.min_by(F.struct("tier", "e.event_id", "e.hash"), "tier").alias("b"))
     return requests.join(best, "request_id", "left").select("request_id", "asset_id", F.col("b.tier").alias("tier"), F.col("b.event_id").alias("anchor_event_id"), F.lower(F.col("b.hash")).alias("anchor_hash"))
 
 
@@ -137,3 +139,86 @@ def ledger_status(blocks: DataFrame, key: str) -> DataFrame:
 
 def asset_history(events: DataFrame, asset: str, order: str) -> DataFrame:
     return events.filter(F.col("asset_id") == asset).orderBy(order)
+
+
+#: Columns of a ledger event, besides those that the ledger itself sets when it takes the event (tx_id, block_number).
+EVENT = ["event_id", "event_type", "asset_id", "contributor_id", "hash", "severity", "disposition", "ts_micros", "metadata"]
+
+
+def event_hash(events: DataFrame) -> Column:
+    """SHA-256 of the event's compact JSON with its names in order, nulls included, without what the ledger sets."""
+    return F.sha2(F.to_json(F.struct(*sorted(c for c in events.columns if c not in ("tx_id", "block_number"))), {"ignoreNullFields": "false"}), 256)
+
+
+def _event(rows: DataFrame, prefix: str, event_type: Column | str, asset: str, **more: Column) -> DataFrame:
+    """Events of rows (ts_micros and what the columns name); ids are prefix, asset and the time in seconds."""
+    kind = F.lit(event_type) if isinstance(event_type, str) else event_type
+    given = {"event_type": kind, "asset_id": F.col(asset).cast("string"), "ts_micros": F.col("ts_micros")} | more
+    given["event_id"] = F.concat_ws("-", F.lit(f"EVT-{prefix}"), F.col(asset).cast("string"), F.floor(F.col("ts_micros") / 1_000_000).cast("string"))
+    return rows.select(*(given.get(c, F.lit(None).cast("string")).alias(c) for c in EVENT))
+
+
+def _metadata(*names: str) -> Column:
+    return F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})
+
+
+def contributor_registered(rows: DataFrame) -> DataFrame:
+    """rows: contributor_id, org, ts_micros."""
+    return _event(rows, "CONTRIB", "CONTRIBUTOR_REGISTERED", "contributor_id", contributor_id=F.col("contributor_id").cast("string"), metadata=_metadata("org"))
+
+
+def dataset_registered(rows: DataFrame) -> DataFrame:
+    """rows: dataset_id, version, manifest_hash, contributor_id, sample_count, ts_micros."""
+    return _event(rows, "DATASET", "DATASET_REGISTERED", "dataset_id", contributor_id=F.col("contributor_id").cast("string"), hash=F.lower("manifest_hash"), metadata=_metadata("version", "sample_count"))
+
+
+def model_registered(rows: DataFrame) -> DataFrame:
+    """rows: model_id, version, model_digest, ts_micros."""
+    return _event(rows, "MODEL", "MODEL_REGISTERED", "model_id", hash=F.lower(F.trim("model_digest")), metadata=_metadata("version"))
+
+
+def model_verified(rows: DataFrame) -> DataFrame:
+    """rows: model_id, version, trusted_digest, current_digest, ts_micros; a missing or other digest is tampering."""
+    match = F.coalesce(F.lower(F.trim("current_digest")) == F.lower(F.trim("trusted_digest")), F.lit(False))
+    pick = lambda yes, no: F.when(match, yes).otherwise(no)
+    return _event(rows, "MODVER", pick("MODEL_VERIFIED", "MODEL_TAMPER_DETECTED"), "model_id", hash=F.lower(F.trim("current_digest")), severity=pick("INFO", "CRITICAL"), disposition=pick("ACCEPT", "QUARANTINE"), metadata=_metadata("version"))
+
+
+def risk_recorded(rows: DataFrame) -> DataFrame:
+    """rows: contributor_id, risk_score, risk_level, dominant_factor, disposition, ts_micros."""
+    kind = F.when(F.col("disposition") == "QUARANTINE", "QUARANTINE_RECORDED").otherwise("CONTRIBUTOR_RISK_RECORDED")
+    severity = F.when(F.col("risk_level").isin("CRITICAL", "HIGH"), F.col("risk_level")).otherwise("MEDIUM")
+    return _event(rows, "RISK", kind, "contributor_id", contributor_id=F.col("contributor_id").cast("string"), severity=severity, disposition=F.col("disposition"), metadata=_metadata("risk_level", "dominant_factor"))
+
+
+def inference_recorded(rows: DataFrame) -> DataFrame:
+    """rows: record_id, binding_hash, nonce, sequence, ts_micros; the id has no time, so that a record is found by it."""
+    made = _event(rows, "INF", "INFERENCE_RECORDED", "record_id", hash=F.lower("binding_hash"), metadata=_metadata("nonce", "sequence"))
+    return made.withColumn("event_id", F.concat(F.lit("EVT-INF-"), F.col("asset_id")))
+
+
+def report_anchored(rows: DataFrame) -> DataFrame:
+    """rows: report_id, report_hash, disposition, ts_micros."""
+    return _event(rows, "REPORT", "REPORT_ANCHORED", "report_id", hash=F.lower("report_hash"), disposition=F.col("disposition"))
+
+
+def audit_head_anchored(rows: DataFrame) -> DataFrame:
+    """rows: chain_id, head_hash, chain_length, ts_micros."""
+    return _event(rows, "AUDIT", "AUDIT_HEAD_ANCHORED", "chain_id", hash=F.lower("head_hash"), metadata=_metadata("chain_length"))
+
+
+def latest_state(events: DataFrame) -> DataFrame:
+    """Of each asset and event type the newest event, as a registry shows it; of equal times the largest id."""
+    newest = F.max_by(F.struct(*(c for c in EVENT if c not in ("asset_id", "event_type"))), F.struct("ts_micros", "event_id"))
+    return events.groupBy("asset_id", "event_type").agg(newest.alias("_e")).select("asset_id", "event_type", "_e.*")
+
+
+def point_get(events: DataFrame, requests: DataFrame) -> DataFrame:
+    """For each request (event_id) whether the ledger has it, and the event's type and hash (the newest of its id)."""
+    found = events.groupBy("event_id").agg(F.max_by(F.struct("event_type", "hash"), "ts_micros").alias("_e"))
+    return requests.join(found, "event_id", "left").select("event_id", F.col("_e").isNotNull().alias("found"), "_e.event_type", "_e.hash")
+
+
+def export_chain(chain: DataFrame, key: str) -> DataFrame:
+    """key, position and the event as JSON that needs nothing but itself to be verified."""
+    return chain.select(key, "position", F.to_json(F.struct("event_hash", "payload", "position", "prev_hash"), {"ignoreNullFields": "false"}).alias("event"))

@@ -131,3 +131,16 @@ def assessment(scenarios: DataFrame) -> DataFrame:
     worst = F.coalesce(F.col("hash_failed"), F.lit(False)) | F.coalesce(F.col("trigger_found"), F.lit(False))
     disposition = F.when((evidence >= 0.60) | worst, "QUARANTINE").when(evidence >= 0.20, "REVIEW").otherwise("ACCEPT")
     return scenarios.select("scenario", evidence.alias("evidence"), disposition.alias("disposition"), F.round(0.75 * evidence + 0.25 * coverage, 4).alias("confidence"))
+
+
+def activation_stats(activations: DataFrame) -> DataFrame:
+    """For each layer of activations (layer, value): values, mean, population deviation, share of zeros, least and greatest. Nulls count as no value."""
+    value = F.col("value")
+    return activations.groupBy("layer").agg(
+        F.count("value").alias("n_values"),
+        F.round(F.avg("value"), 6).alias("mean"),
+        F.round(F.stddev_pop("value"), 6).alias("std"),
+        F.round(F.count_if(value == 0) / F.count("value"), 6).alias("zero_share"),
+        F.min("value").alias("least"),
+        F.max("value").alias("greatest"),
+    )

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from attestry.functions import columns as C
 
+#: Stands for a null part of a binding, so that no two records with nulls at different places have one hash.
+NULL_SIGN = "\x01"
 DEMO_KEY = b"demo-key"
 KEY_VARIABLE, KEY_FILE_VARIABLE = "ATTESTRY_KEY", "ATTESTRY_KEY_FILE"
 
@@ -63,9 +65,10 @@ def canonical_config(text):
 
 
 def binding_hash(image: Column, model: Column, config: Column, predictions: Column, timestamp: Column, nonce: Column, sequence: Column, inference_config: Column | None = None) -> Column:
-    """SHA-256 over the parts joined by |, digests in lower case; a null inference config is left out."""
+    """SHA-256 over the parts joined by |, digests in lower case; a null part is a control sign, but a null inference config is left out."""
     parts = [F.lower(image), F.lower(model), F.lower(config), F.lower(predictions), timestamp, nonce, sequence.cast("string")]
-    return F.sha2(F.concat_ws("|", *parts, *([] if inference_config is None else [F.lower(inference_config)])), 256)
+    there = [F.coalesce(p, F.lit(NULL_SIGN)) for p in parts]
+    return F.sha2(F.concat_ws("|", *there, *([] if inference_config is None else [F.lower(inference_config)])), 256)
 
 
 def model_digest(value: Column) -> Column:
@@ -89,17 +92,22 @@ COMPARED = ["image_hash", "model_digest", "config_hash", "predictions_json", "ts
 
 
 def verify(records: DataFrame, key: bytes, originals: DataFrame | None = None) -> DataFrame:
-    """record_id, passed, tampered_fields and checks (name to result) of every record, from the record alone and, if given, from its original."""
-    fresh = bind(records.select("record_id", *COMPARED[:7]), key)
+    """record_id, passed, tampered_fields and checks (name to result) of every record, from the record alone and, if given, from its original.
+
+    Repeated ids are each judged; of several originals of an id the first by sequence counts.
+    """
     again = {c: f"_{c}" for c in ("predictions_hash", "binding_hash", "signature")}
-    rows = records.join(fresh.select("record_id", *(F.col(c).alias(n) for c, n in again.items())), "record_id")
+    given = records.select("*", *(F.col(c).alias(f"_given_{c}") for c in again))
+    fresh = bind(given, key).withColumnsRenamed(again)
+    rows = fresh.withColumnsRenamed({f"_given_{c}": c for c in again})
     checks = {c: F.coalesce(F.lower(F.col(c)) == F.lower(F.col(n)), F.lit(False)) for c, n in again.items()}
     checks["ts_micros"] = F.col("ts_micros").isNotNull() & (F.col("ts_micros") > 0)
     checks["nonce"] = F.coalesce(F.length(F.trim("nonce")) > 0, F.lit(False))
     checks["sequence"] = F.coalesce(F.col("sequence") >= 0, F.lit(False))
     changed = F.array().cast("array<string>")
     if originals is not None:
-        rows = rows.join(originals.select("record_id", *(F.col(c).alias(f"_o_{c}") for c in COMPARED)), "record_id", "left")
+        one = originals.groupBy("record_id").agg(F.min(F.struct("sequence", *(F.col(c).alias(f"_o_{c}") for c in COMPARED))).alias("_o")).select("record_id", *(f"_o._o_{c}" for c in COMPARED))
+        rows = rows.join(one, "record_id", "left")
         known = F.coalesce(*(F.col(f"_o_{c}").cast("string") for c in COMPARED)).isNotNull()
         changed = F.when(known, F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"_o_{c}")), F.lit(c)) for c in COMPARED)))).otherwise(changed)
     failed = F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in checks.items())))
@@ -112,12 +120,61 @@ def reused(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return events.withColumn("is_replay", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) > 1)
 
 
+def _seen_before(records: DataFrame, c: str, order: str, counts: Column | None = None) -> Column:
+    """Whether an earlier record (of those that count) has the same value; null values are spread and never seen."""
+    spread = F.when(F.col(c).isNull(), F.xxhash64(*records.columns))
+    earlier = W.partitionBy(c, spread).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return F.col(c).isNotNull() & (F.coalesce(F.count_if(F.lit(True) if counts is None else counts).over(earlier), F.lit(0)) > 0)
+
+
+#: The checks of a record, in the order in which they are made; fixed values.
+CHECKS = ["image", "model", "config", "inference_config", "predictions", "timestamp", "sequence", "binding", "signature", "replay"]
+
+
+def full_verification(records: DataFrame, key: bytes, order: str) -> DataFrame:
+    """record_id, passed, tampered, replayed, tampered_fields and checks of every record.
+
+    Besides the columns of ``bind`` with their hashes, records have what they are held against, null where nothing is
+    known, and then nothing is judged: observed_image_hash, expected_model_digest, config_json, inference_config_json and
+    inference_config_hash (one without the other fails), ts_iso (UTC, to the second), expected_sequence. A record is a
+    replay if an earlier intact one (by order) has its id, nonce or binding.
+    """
+    same = lambda a, b: F.lower(a) == F.lower(b)
+    fresh = binding_hash(F.col("image_hash"), model_digest(F.col("model_digest")), F.col("config_hash"), F.sha2("predictions_json", 256), F.col("ts_micros").cast("string"), F.col("nonce"), F.col("sequence"), F.col("inference_config_hash"))
+    rows = records.withColumn("_fresh", fresh)
+    inference = F.col("inference_config_json"), F.col("inference_config_hash")
+    judged = {
+        "image": same(F.col("observed_image_hash"), F.col("image_hash")),
+        "model": same(model_digest(F.col("expected_model_digest")), model_digest(F.col("model_digest"))),
+        "config": same(F.sha2("config_json", 256), F.col("config_hash")),
+        "inference_config": F.when(inference[0].isNull() & inference[1].isNull(), F.lit(None)).otherwise(F.coalesce(same(F.sha2(inference[0], 256), inference[1]), F.lit(False))),
+        "predictions": F.coalesce(same(F.sha2("predictions_json", 256), F.col("predictions_hash")), F.lit(False)),
+        "timestamp": F.col("ts_micros").isNotNull() & F.coalesce(F.date_format(F.timestamp_micros("ts_micros"), "yyyy-MM-dd'T'HH:mm:ss") == F.col("ts_iso"), F.col("ts_iso").isNull()),
+        "sequence": F.col("sequence") == F.col("expected_sequence"),
+        "binding": F.coalesce(same(F.col("_fresh"), F.col("binding_hash")), F.lit(False)),
+        "signature": F.coalesce(same(C.hmac_sha256(key, F.col("_fresh")), F.col("signature")), F.lit(False)),
+    }
+    rows = rows.withColumns({f"_{n}": c for n, c in judged.items()})
+    intact = F.coalesce(F.expr(" AND ".join(f"coalesce(_{n}, true)" for n in judged)), F.lit(True))
+    rows = rows.withColumn("_intact", intact)
+    for c in ("record_id", "nonce", "binding_hash"):
+        rows = rows.withColumn(f"_seen_{c}", _seen_before(rows, c, order, F.col("_intact")))
+    rows = rows.withColumn("_replay", ~(F.col("_seen_record_id") | F.col("_seen_nonce") | F.col("_seen_binding_hash")))
+    failed = F.array_compact(F.array(*(F.when(~F.col(f"_{n}"), F.lit(n)) for n in CHECKS)))
+    checks = F.map_from_arrays(F.array(*map(F.lit, CHECKS)), F.array(*(F.col(f"_{n}") for n in CHECKS)))
+    return rows.select("record_id", (F.size(failed) == 0).alias("passed"), (~F.col("_intact")).alias("tampered"), (~F.col("_replay")).alias("replayed"), failed.alias("tampered_fields"), checks.alias("checks"))
+
+
+def record_counts(verified: DataFrame) -> DataFrame:
+    """Records, and how many of them passed, were replayed, or were tampered with and not replayed."""
+    return verified.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if("replayed").alias("replayed"), F.count_if(~F.col("passed") & ~F.col("replayed")).alias("tampered"))
+
+
 def replay_reason(records: DataFrame, order: str) -> DataFrame:
     """records with reason: record_id, nonce or binding seen before, the first of these that holds, or null."""
-    seen = {c: F.row_number().over(W.partitionBy(c).orderBy(order)) > 1 for c in ("record_id", "nonce", "binding_hash")}
     rows = records
-    for c, again in seen.items():
-        rows = rows.withColumn(f"_{c}", again & F.col(c).isNotNull())
+    for c in ("record_id", "nonce", "binding_hash"):
+        rows = rows.withColumn(f"_{c}", _seen_before(rows, c, order))
     reason = F.when(F.col("_record_id"), "record_id").when(F.col("_nonce"), "nonce").when(F.col("_binding_hash"), "binding_hash")
     return rows.withColumn("reason", reason).drop("_record_id", "_nonce", "_binding_hash")
 
@@ -145,12 +202,12 @@ def accepted_sequence(rows: DataFrame, key: str, sequence: str, order: list[str]
 def chain_checks(records: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adjacent-row checks of an inference chain: sequence_ok, time_ok and nonce_ok for each record of its chain."""
     w = W.partitionBy(key).orderBy(*order)
-    first = F.lag("sequence").over(w).isNull()
+    first = F.row_number().over(w) == 1
     nonce = F.row_number().over(W.partitionBy(key, "nonce").orderBy(*order)) == 1
     return records.select(
         "record_id",
         key,
-        (first | (F.col("sequence") == F.lag("sequence").over(w) + 1)).alias("sequence_ok"),
-        (first | (F.col("ts_micros") >= F.lag("ts_micros").over(w))).alias("time_ok"),
+        (first | F.coalesce(F.col("sequence") == F.lag("sequence").over(w) + 1, F.lit(False))).alias("sequence_ok"),
+        (first | F.coalesce(F.col("ts_micros") >= F.lag("ts_micros").over(w), F.lit(False))).alias("time_ok"),
         nonce.alias("nonce_ok"),
     )

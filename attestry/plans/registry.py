@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.plans import data, integrity, models
+from attestry.plans import data, integrity, models, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data.QUERIES, **integrity.QUERIES, **models.QUERIES}
-ORACLES: dict[str, str] = {**data.ORACLES, **integrity.ORACLES, **models.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data.QUERIES, **integrity.QUERIES, **models.QUERIES, **records.QUERIES}
+ORACLES: dict[str, str] = {**data.ORACLES, **integrity.ORACLES, **models.ORACLES, **records.ORACLES}
 FLAGSHIP = "disposition"

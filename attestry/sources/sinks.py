@@ -1,4 +1,8 @@
-"""Sinks. All go through Spark's committers, so a reader sees a whole result or the one before."""
+"""Sinks and the ledgers' loader.
+
+Appending goes through Spark's committers, so a reader sees all rows of a write or none. Overwriting a folder deletes
+its rows first; where a reader must never miss them, write a new folder instead.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +23,11 @@ def append_table(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
+def load_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A ledger, chain or registry kept as JSON lines; a line that isn't of the schema is an error when it is read, never skipped."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def coco_tables(samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """images, annotations (renumbered from 1, with area) and categories (without 0) of samples."""
     numbered = samples.withColumn("image_id", F.row_number().over(W.orderBy("sample_id")))
