@@ -38,18 +38,22 @@ def near_pairs(samples: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of different token sets with a Jaccard index of at least ``threshold``.
 
     a_id, b_id (least ids of the samples with those sets) and similarity. Equal
-    sets are taken as one. Sets are joined on those tokens only that are among
-    their first by rarity, enough that similar sets share one.
+    sets are taken as one. Tokens are 64-bit hashes. Sets are joined on those
+    tokens only that are among their first by rarity, enough that similar sets
+    share one; of a pair's shared tokens the first in that order leaves the most
+    to share behind it, so a match with too little behind it isn't followed.
     """
-    tokens = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9\x80-\x{10FFFF}]+"), lambda t: t != "")))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9\x80-\x{10FFFF}]+"), lambda t: t != ""))
+    tokens = F.sort_array(F.transform(words, lambda t: F.xxhash64(t)))
     sets = samples.select("sample_id", tokens.alias("tokens")).filter("size(tokens) > 0").groupBy("tokens").agg(F.min("sample_id").alias("id")).withColumn("n", F.size("tokens"))
     each = sets.select("id", "n", F.explode("tokens").alias("token"))
     ranked = each.join(each.groupBy("token").agg(F.count("*").alias("df")), "token")
     needed = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    first = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all")).select("id", "n", F.explode(F.slice("all", F.lit(1), needed)).alias("t")).select("id", "n", "t.token")
-    left, right = (first.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), "token") for s in "ab")
+    first = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all")).select("id", "n", F.posexplode(F.slice("all", F.lit(1), needed)).alias("place", "t")).select("id", "n", (F.col("n") - F.col("place")).alias("left"), "t.token")
+    left, right = (first.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("left").alias(f"{s}_left"), "token") for s in "ab")
     near = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(threshold) - 1e-9
-    pairs = left.join(right, "token").filter((F.col("a_id") < F.col("b_id")) & near).select("a_id", "b_id").distinct()
+    enough = F.least("a_left", "b_left") >= (F.col("a_n") + F.col("b_n")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    pairs = left.join(right, "token").filter((F.col("a_id") < F.col("b_id")) & near & enough).select("a_id", "b_id").distinct()
     for s in "ab":
         pairs = pairs.join(sets.select(F.col("id").alias(f"{s}_id"), F.col("tokens").alias(f"{s}_tokens")), f"{s}_id")
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
