@@ -33,9 +33,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries after which the cache keeps its short pieces alone (about 250 bytes each).
 MAX_ENTRIES = 600_000
@@ -222,16 +223,17 @@ class Encoder:
             out[k] = ids
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.seen))
+    def _learn(self, pieces: list[str]) -> None:
+        new = [p for p in pieces if p not in self.seen]
         if len(self.seen) + len(new) > MAX_ENTRIES:
             self.seen = {p: ids for p, ids in self.seen.items() if len(p) <= 7}
             if 2 * len(self.seen) > MAX_ENTRIES:
                 self.seen.clear()
-            new = list(pieces.difference(self.seen))
-        plain = [p for p in new if not self._joined(p)]
-        self.seen.update(dict.fromkeys(new))
-        self.seen.update(zip(plain, self._spaced(plain), strict=True))
+            new = [p for p in pieces if p not in self.seen]
+        joined = set(filter(self._joined, new))
+        free = [p for p in new if p not in joined]
+        self.seen.update(dict.fromkeys(joined))
+        self.seen.update(zip(free, self._spaced(free), strict=True))
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces between proven boundaries, each but the first without its space."""
@@ -248,20 +250,43 @@ class Encoder:
         if not self.usual:
             return self._whole(texts)
         out: list[bytes | None] = [None] * len(texts)
-        split = {}
+        short = []
         for k, text in enumerate(texts):
             if len(text) > self.chunk:
                 out[k] = self._resynchronised(text)
             else:
-                split[k] = text.split(" ")
-        self._learn(set(chain.from_iterable(p[1:] for p in split.values())))
-        heads = dict(zip(split, self._whole([p[0] for p in split.values()]), strict=True))
-        get = self.seen.__getitem__
-        for k, pieces in split.items():
-            try:
-                out[k] = heads[k] + b"".join(map(get, pieces[1:]))
-            except TypeError:  # a piece that stays joined
-                out[k] = self._with_joined(texts[k])
+                short.append(k)
+        for k, ids in zip(short, self._by_pieces([texts[k] for k in short]), strict=True):
+            out[k] = ids
+        return out
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts from those of their distinct pieces, put together in arrays."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        self._learn(pieces)
+        parts = [self.seen[p] for p in pieces]
+        index, first = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()[:-1].astype(np.int64)
+        stays = np.array([x is None for x in parts], bool)[index]  # joined to the piece before it
+        stays[first] = False
+        odd = np.logical_or.reduceat(stays, first)
+        heads = self._whole([pieces[k] for k in index[first].tolist()])
+        index[first] = len(parts) + np.arange(len(heads))
+        parts = [x or b"" for x in parts] + heads
+        size = self.dtype.itemsize
+        lengths = np.array([len(x) // size for x in parts])
+        flat = np.frombuffer(b"".join(parts), self.dtype)
+        taken = lengths[index]
+        ends = np.cumsum(taken)
+        at = np.repeat((np.cumsum(lengths) - lengths)[index] - (ends - taken), taken) + np.arange(int(ends[-1]))
+        raw = flat[at].tobytes()
+        edges = np.append(0, ends[np.append(first[1:], len(index)) - 1]) * size
+        out = [raw[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self._with_joined(texts[k])
         return out
 
     def _with_joined(self, text: str) -> bytes:
