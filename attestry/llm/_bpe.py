@@ -281,7 +281,9 @@ class Encoder:
         flat = np.frombuffer(b"".join(parts), self.dtype)
         taken = lengths[index]
         ends = np.cumsum(taken)
-        at = np.repeat((np.cumsum(lengths) - lengths)[index] - (ends - taken), taken) + np.arange(int(ends[-1]))
+        place = np.int32 if max(len(flat), int(ends[-1])) < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(lengths) - lengths)[index] - (ends - taken)).astype(place), taken)
+        at += np.arange(int(ends[-1]), dtype=place)
         raw = flat[at].tobytes()
         edges = np.append(0, ends[np.append(first[1:], len(index)) - 1]) * size
         out = [raw[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]

@@ -33,6 +33,8 @@ from attestry.llm import _bpe, _text
 BUCKETS, DIMS, BITS = 256, 4, 15
 SEQUENCE = 1024
 END_ID = 0
+#: Bytes of text encoded at once: more of it repeats more pieces.
+SLICE_BYTES = 4 << 20
 #: Tokens of a range on average (two or four bytes each), whatever the input's size.
 RANGE_TOKENS = 1 << 24
 
@@ -92,7 +94,7 @@ def _encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         enc = _bpe.encoder(tokenizer)
         end = np.array([END_ID], enc.dtype).tobytes()
         for batch in batches:
-            for row, stop, _buf, _offs in _text.text_slices(batch.column("text")):
+            for row, stop, _buf, _offs in _text.text_slices(batch.column("text"), SLICE_BYTES):
                 raw = [x + end for x in enc.batch([t or "" for t in batch.column("text")[row:stop].to_pylist()])]
                 keys = curve_keys([np.frombuffer(x, enc.dtype) for x in raw])
                 yield pa.RecordBatch.from_arrays(
