@@ -103,9 +103,10 @@ def _chains(tokenizer: str):
         names = ["path", "conv_id", "roles", "ids", "loss_starts", "loss_ends"]
         for batch in batches:
             rows = []
-            for conv_id, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-                parts = [render(t["role"], t["text"]) for t in turns]
-                heads, bodies, ends = (encode(list(p)) for p in zip(*parts, strict=True))
+            rendered = [[render(t["role"], t["text"]) for t in turns] for turns in batch.column("turns").to_pylist()]
+            encoded = iter(encode([text for parts in rendered for p in parts for text in p]))  # in one call: most texts are short
+            for conv_id, turns, parts in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), rendered, strict=True):
+                heads, bodies, ends = zip(*((next(encoded), next(encoded), next(encoded)) for _ in parts), strict=True)
                 path = [hashlib.blake2b("".join(p).encode(), digest_size=16).hexdigest() for p in parts]
                 starts = [len(h) for h in heads]
                 stops = [len(h) + len(b) if t["role"] == "assistant" else len(h) for t, h, b in zip(turns, heads, bodies, strict=True)]
