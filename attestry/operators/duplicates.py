@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import columns as C
+from attestry.functions import words
+
+#: Buckets of word hashes whose loads stand for the rarity of words.
+LOAD_BITS = 18
+#: Rarest tokens that near sets share, by which their pairs are told from others.
+MATCHES = 4
+
+_U = np.uint64
 
 
 def exact_groups(samples: DataFrame) -> DataFrame:
@@ -34,31 +47,86 @@ def exact_summary(samples: DataFrame) -> DataFrame:
     )
 
 
+def _word_levels(texts: DataFrame) -> np.ndarray:
+    """For each bucket of word hashes its load over all texts, on a scale of logarithms; 0 where no two texts meet."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = np.zeros(1 << LOAD_BITS, np.int64)
+        for batch in batches:
+            held, have = [], 0
+            for s in words.word_sets(batch.column("text")):
+                held.append(s)
+                have += len(s)
+                if have > len(loads):
+                    loads += np.bincount((np.concatenate(held) >> _U(64 - LOAD_BITS)).astype(np.int64), minlength=len(loads))
+                    held, have = [], 0
+            if held:
+                loads += np.bincount((np.concatenate(held) >> _U(64 - LOAD_BITS)).astype(np.int64), minlength=len(loads))
+        used = np.flatnonzero(loads)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(loads[used])], names=["bucket", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # one table, whatever the input
+    out = np.zeros(1 << LOAD_BITS, np.uint8)
+    out[counted.column("bucket").to_numpy()] = np.minimum(np.round(8 * np.log2(counted.column("n").to_numpy())), 255).astype(np.uint8)
+    return out
+
+
 def near_pairs(samples: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of different token sets with a Jaccard index of at least ``threshold``.
 
     a_id, b_id (least ids of the samples with those sets) and similarity. Equal
-    sets are taken as one. Tokens are 64-bit hashes. Sets are joined on those
-    tokens only that are among their first by rarity, enough that similar sets
-    share one; of a pair's shared tokens the first in that order leaves the most
-    to share behind it, so a match with too little behind it isn't followed.
+    sets are taken as one. Tokens, and sets, are 64-bit hashes. Sets are joined
+    on those tokens only that are among their first by rarity, enough that
+    similar sets share ``MATCHES`` (or all that they must share, if fewer); of a
+    pair's shared tokens the first ones in that order leave the most to share
+    behind them, so a match with too little behind it isn't counted. Rarity is the load of a token's bucket, from one table of
+    ``1 << LOAD_BITS``, so that no token has to be dealt out to be ranked, and
+    tokens that are alone in theirs are not sent at all.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9\x80-\x{10FFFF}]+"), lambda t: t != ""))
-    tokens = F.sort_array(F.transform(words, lambda t: F.xxhash64(t)))
-    sets = samples.select("sample_id", tokens.alias("tokens")).filter("size(tokens) > 0").groupBy("tokens").agg(F.min("sample_id").alias("id")).withColumn("n", F.size("tokens"))
-    each = sets.select("id", "n", F.explode("tokens").alias("token"))
-    ranked = each.join(each.groupBy("token").agg(F.count("*").alias("df")), "token")
-    needed = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    first = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all")).select("id", "n", F.posexplode(F.slice("all", F.lit(1), needed)).alias("place", "t")).select("id", "n", (F.col("n") - F.col("place")).alias("left"), "t.token")
-    left, right = (first.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("left").alias(f"{s}_left"), "token") for s in "ab")
+    texts = samples.select("sample_id", F.lower("text").alias("text"))
+    levels = samples.sparkSession.sparkContext.broadcast(_word_levels(texts))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, sizes, lefts, keys = [], [], [], []
+            for s in words.word_sets(batch.column("text")):
+                if not len(s):
+                    continue
+                rank = np.sort((levels.value[(s >> _U(64 - LOAD_BITS)).astype(np.int64)].astype(_U) << _U(56)) | (s & _U((1 << 56) - 1)))
+                rank = rank[: len(s) - math.ceil(len(s) * threshold - 1e-9) + MATCHES]
+                alone = int(np.searchsorted(rank, _U(1 << 56)))  # level 0
+                if alone < len(rank):
+                    numbers.append(words.set_number(s))
+                    sizes.append(len(s))
+                    lefts.append(len(s) - alone)
+                    keys.append(rank[alone:].astype(np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lefts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["set", "n", "left", "keys"])
+
+    def all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(words.word_sets(batch.column("text")))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, _U), *sets]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("sample_id"), pa.array([words.set_number(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["sample_id", "set", "tokens"])
+
+    sent = texts.select("text").mapInArrow(rarest, "set long, n int, left int, keys array<long>")
+    first = sent.groupBy("set").agg(F.first("n").alias("n"), F.first("left").alias("left"), F.first("keys").alias("keys")).select("set", "n", "left", F.posexplode("keys").alias("place", "key")).select("set", "n", (F.col("left") - F.col("place")).alias("left"), "key")
+    left, right = (first.select(F.col("set").alias(f"{s}_set"), F.col("n").alias(f"{s}_n"), F.col("left").alias(f"{s}_left"), "key") for s in "ab")
     near = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(threshold) - 1e-9
-    enough = F.least("a_left", "b_left") >= (F.col("a_n") + F.col("b_n")) * F.lit(threshold / (1 + threshold)) - 1e-6
-    pairs = left.join(right, "token").filter((F.col("a_id") < F.col("b_id")) & near & enough).select("a_id", "b_id").distinct()
+    needed = F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(threshold / (1 + threshold)) - 1e-6)
+    behind = F.least("a_left", "b_left")
+    matches = left.join(right, "key").filter((F.col("a_set") < F.col("b_set")) & near & (behind > needed - MATCHES)).select("a_set", "b_set", behind.alias("behind"), needed.cast("int").alias("needed"))
+    counted = matches.groupBy("a_set", "b_set").agg(F.count("*").alias("n"), F.max("behind").alias("behind"), F.first("needed").alias("needed"))
+    pairs = counted.filter((F.col("behind") >= F.col("needed")) & (F.col("n") >= F.least(F.lit(MATCHES), "needed"))).select("a_set", "b_set")
+    id_type = samples.schema["sample_id"].dataType.simpleString()
+    sets = texts.mapInArrow(all_tokens, f"sample_id {id_type}, set long, tokens array<long>").groupBy("set").agg(F.min("sample_id").alias("id"), F.first("tokens").alias("tokens"))
     for s in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(f"{s}_id"), F.col("tokens").alias(f"{s}_tokens")), f"{s}_id")
+        pairs = pairs.join(sets.select(F.col("set").alias(f"{s}_set"), F.col("id").alias(f"{s}_id"), F.col("tokens").alias(f"{s}_tokens")), f"{s}_set")
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     similarity = both / (F.size("a_tokens") + F.size("b_tokens") - both)
-    return pairs.select("a_id", "b_id", F.round(similarity, 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return pairs.filter("a_id <> b_id").select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), F.round(similarity, 6).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def bit_hash_pairs(vectors: DataFrame, mean_bits: int = 6, difference_bits: int | None = None) -> DataFrame:

@@ -48,6 +48,32 @@ def test_near_pairs_against_all_pairs(spark):
     assert got == want and want
 
 
+def _shuffled(spark):
+    """Bytes of shuffle that the session's stages have written."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none, numbers = sc._jvm.java.util.ArrayList(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, numbers, none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_pairs_deal_out_little_more_than_the_texts(spark):
+    rng = random.Random(7)
+    docs, want = [], set()
+    for i in range(0, 1500, 3):
+        base = [f"Word{int(4000 * rng.random() ** 3)}é" for _ in range(150)]
+        near = [*base[:-1], f"new{i}"]
+        far = base[:75] + [f"word{int(4000 * rng.random() ** 3)}é" for _ in range(75)]
+        docs += [(i, "s", " ".join(base)), (i + 1, "s", " ".join(near)), (i + 2, "s", " ".join(far))]
+        want.add((i, i + 1))
+    docs += [(1500, "s", None), (1501, "s", " -- "), (1502, "s", "one"), (1503, "s", "ONE, one"), (1504, "s", "a b c d"), (1505, "s", "a b c d e"), (1506, "s", "x" * 20), (1507, "s", "x" * 21)]
+    want.add((1504, 1505))
+    before = _shuffled(spark)
+    got = duplicates.near_pairs(spark.createDataFrame(docs, "sample_id long, contributor string, text string").repartition(4)).collect()
+    assert {(r.a_id, r.b_id) for r in got} == want and {(r.a_id, r.b_id): r.similarity for r in got}[1504, 1505] == 0.8
+    assert _shuffled(spark) - before < 2.5 * sum(len((t or "").encode()) for _, _, t in docs)
+
+
 @pytest.mark.parametrize("bits", [3, 6])
 def test_bit_hash_pairs_against_all_pairs(spark, bits):
     rng = np.random.default_rng(3)
