@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from attestry.functions import words
 LOAD_BITS = 18
 #: Rarest tokens that near sets share, by which their pairs are told from others.
 MATCHES = 4
+#: Vectors of a tile's side, and of the strips in which their hashes are compared; pairs that are sent on at once, about.
+TILE_ROWS, STRIP_ROWS, STRIP_PAIRS = 8192, 64, 100_000
 
 _U = np.uint64
 
@@ -132,38 +135,108 @@ def near_pairs(samples: DataFrame, threshold: float = 0.8) -> DataFrame:
 def bit_hash_pairs(vectors: DataFrame, mean_bits: int = 6, difference_bits: int | None = None) -> DataFrame:
     """Pairs of vectors whose mean hashes differ in at most ``mean_bits`` bits and whose difference hashes in two more.
 
-    The mean hash is cut into mean_bits + 1 slices; two hashes that near agree
-    in one slice, so candidates come from an equality join on slices.
+    Every pair is compared, by the bits of its hashes, in square tiles; only pairs within both limits get their
+    similarities worked out, in the tile that holds both vectors.
     """
-    pairs = _hash_pairs(vectors, mean_bits, mean_bits + 2 if difference_bits is None else difference_bits)
-    for s in "ab":
-        pairs = pairs.join(vectors.select(F.col("sample_id").alias(f"{s}_id"), F.col("vector").alias(f"{s}_v")), f"{s}_id")
-    ssim, mae = C.ssim(F.col("a_v"), F.col("b_v")), C.mean_absolute_error(F.col("a_v"), F.col("b_v"))
+    pairs = _hash_pairs(vectors, mean_bits, mean_bits + 2 if difference_bits is None else difference_bits, True)
+    ssim, mae = F.col("ssim"), F.col("mae")
     return pairs.select("a_id", "b_id", "mean_distance", "difference_distance", F.round(ssim, 4).alias("ssim"), F.round(mae, 4).alias("mae"), F.round(0.7 * ssim + 0.3 * (1 - mae), 4).alias("similarity"))
 
 
-def _hash_pairs(vectors: DataFrame, mean_bits: int, difference_bits: int) -> DataFrame:
-    """a_id, b_id and both distances of the pairs within both limits."""
-    # dealt by id, so that the hashes are worked out once and not again in every expression that uses them
-    hashed = vectors.select("sample_id", C.mean_hash(F.col("vector")).alias("p"), C.difference_hash(F.col("vector")).alias("d")).repartition("sample_id")
-    edges = [64 * i // (mean_bits + 1) for i in range(mean_bits + 2)]
-    cuts = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("p"), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("part")) for i in range(mean_bits + 1)))
-    banded = hashed.select("sample_id", "p", "d", F.explode(cuts).alias("c")).select("sample_id", "p", "d", "c.*")
-    left, right = (banded.select(F.col("sample_id").alias(f"{s}_id"), F.col("p").alias(f"{s}_p"), F.col("d").alias(f"{s}_d"), "band", "part") for s in "ab")
-    first_shared = F.lit(True)
-    for i in range(mean_bits):  # each pair once: at the first slice that it shares
-        same = F.shiftrightunsigned(F.col("a_p").bitwiseXOR(F.col("b_p")), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) == 0
-        first_shared = first_shared & ~((F.col("band") > i) & same)
-    near = (F.col("a_id") < F.col("b_id")) & (C.hamming(F.col("a_p"), F.col("b_p")) <= mean_bits) & (C.hamming(F.col("a_d"), F.col("b_d")) <= difference_bits)
-    pairs = left.join(right, ["band", "part"]).filter(near & first_shared)
-    return pairs.select("a_id", "b_id", C.hamming(F.col("a_p"), F.col("b_p")).alias("mean_distance"), C.hamming(F.col("a_d"), F.col("b_d")).alias("difference_distance"))
+def _hash_pairs(vectors: DataFrame, mean_bits: int, difference_bits: int, similar: bool = False) -> DataFrame:
+    """a_id, b_id and both distances of the pairs within both limits; with ``similar`` their ssim and mae too.
+
+    A vector goes to one row and one column of tiles, and each pair meets in one tile. Vectors that are null, empty or
+    hold null have no hash and are in no pair.
+    """
+    id_type = vectors.schema["sample_id"].dataType.simpleString()
+    tiles = max(1, -(-vectors.count() // TILE_ROWS))
+    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    whole = vectors.filter((F.size("vector") > 0) & ~F.exists("vector", F.isnull)).select("sample_id", "vector", F.pmod(F.xxhash64("sample_id"), F.lit(tiles)).cast("int").alias("own"), other.alias("other"))
+    dealt = whole.select("sample_id", "vector", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        ids = table.column("sample_id").combine_chunks()
+        packed = table.column("vector").combine_chunks()
+        row, col = table.column("row")[0].as_py(), table.column("col")[0].as_py()
+        mine = table.column("own").to_numpy()
+        size = np.diff(packed.offsets.to_numpy())
+        flat, begin = packed.values.to_numpy(zero_copy_only=False).astype(np.float64), packed.offsets.to_numpy()[:-1]
+        same_size = {n: (np.flatnonzero(size == n), np.cumsum(size == n) - 1) for n in np.unique(size).tolist()}
+        columns = {n: flat[begin[rows][:, None] + np.arange(n)].T for n, (rows, _) in same_size.items()}  # of vectors of one length, by place
+        p, d = np.zeros(len(size), _U), np.zeros(len(size), _U)
+        for n, (rows, _) in same_size.items():
+            p[rows], d[rows] = _hashes(columns[n])
+
+        def made(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+            swap = pc.greater(a, b)
+            distances = [pa.array(np.bitwise_count(x[i] ^ x[j]).astype(np.int32)) for x in (p, d)]
+            likeness = []
+            if similar:
+                ssim, mae = np.full(len(i), np.nan), np.full(len(i), np.nan)
+                for n, (_, place) in same_size.items():
+                    at = np.flatnonzero((size[i] == n) & (size[j] == n))
+                    ssim[at], mae[at] = _similarities(columns[n], place[i[at]], place[j[at]])
+                likeness = [pa.array(x, mask=size[i] != size[j]) for x in (ssim, mae)]
+            names = ["a_id", "b_id", "mean_distance", "difference_distance", *["ssim", "mae"][: len(likeness)]]
+            return pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b), *distances, *likeness], names=names).filter(pc.not_equal(a, b))
+
+        left, right = np.flatnonzero(mine == row), np.flatnonzero(mine == col)
+        held, have = [], 0
+        for at in range(0, len(left), STRIP_ROWS):
+            i, j = np.nonzero(np.bitwise_count(p[left[at : at + STRIP_ROWS], None] ^ p[None, right]) <= mean_bits)
+            i, j = left[at + i], right[j]
+            both = np.bitwise_count(d[i] ^ d[j]) <= difference_bits
+            if row == col:
+                both &= i < j
+            held.append((i[both], j[both]))
+            have += len(held[-1][0])
+            if have >= STRIP_PAIRS:
+                yield made(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, have = [], 0
+        if have:
+            yield made(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return dealt.groupBy("row", "col").applyInArrow(run, f"a_id {id_type}, b_id {id_type}, mean_distance int, difference_distance int" + ", ssim double, mae double" * similar)
+
+
+def _hashes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``C.mean_hash`` and ``C.difference_hash`` of vectors of one length by place; not-a-number is above all numbers."""
+    above = lambda a, b: (a > b) | (np.isnan(a) & ~np.isnan(b))
+    p, d = np.zeros(x.shape[1], _U), np.zeros(x.shape[1], _U)
+    ordered = np.sort(x, axis=0)
+    middle = ordered[len(x) // 2] if len(x) % 2 else (ordered[len(x) // 2 - 1] + ordered[len(x) // 2]) / 2
+    for k, e in enumerate(x):
+        p = p << _U(1) | above(e, middle).astype(_U)
+        if k:
+            d = d << _U(1) | above(e, x[k - 1]).astype(_U)
+    return p, d
+
+
+def _similarities(x: np.ndarray, i: np.ndarray, j: np.ndarray, span: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """``C.ssim`` and ``C.mean_absolute_error`` of pairs of vectors by place, with sums in the order of the elements."""
+    n = len(x)
+    mean, square, cov, error = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(len(i)), np.zeros(len(i))
+    for e in x:
+        mean += e
+        square += e * e
+        a, b = e[i], e[j]
+        cov += a * b
+        error += np.abs(a - b)
+    mean, square = mean / n, square / n
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    ma, mb = mean[i], mean[j]
+    va, vb, cov = square[i] - ma * ma, square[j] - mb * mb, cov / n - ma * mb
+    return ((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2) + 1e-7), error / n / span
 
 
 def least_hash_distance(vectors: DataFrame, margin: float = 0.45, low: int = 4, high: int = 8) -> DataFrame:
     """Calibration on clean data: the least distance of two mean hashes, and the threshold from it.
 
-    Looks for the least number of bits at which the banded join finds a pair,
-    doubling it, so no pair beyond the nearest ones is ever made.
+    Looks for the least number of bits at which the join finds a pair, doubling
+    it, so no pair beyond the nearest ones is ever made.
     """
     bits = 8
     while True:
