@@ -206,11 +206,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, np.ndarray]:
 
     names = ["t0", "t1", "c0", "c1"]
     counted = sample.mapInArrow(count, "bucket long, t0 long, t1 long, c0 long, c1 long").groupBy("bucket").agg(*(F.sum(c).cast("int").alias(c) for c in names))
-    rows = counted.toArrow()  # a row for each bucket at most
-    table = np.zeros((4, 1 << BITS))
-    for k, c in enumerate(names):
-        table[k, rows.column("bucket").to_numpy()] = rows.column(c).to_numpy()
+    rows = counted.withColumn("bucket", F.col("bucket").cast("int")).toArrow()  # a row for each bucket at most
+    batch = None
+    table = np.zeros((4, 1 << BITS), np.int32)
+    for batch in rows.to_batches():
+        for k, c in enumerate(names):
+            table[k, batch.column("bucket").to_numpy()] = batch.column(c).to_numpy()
+    del rows, batch  # the driver's memory is small
     scorers = [Scorer(table[1], table[3]), Scorer(table[0], table[2]), Scorer(table[0] + table[1], table[2] + table[3])]
+    del table
+    pa.default_memory_pool().release_unused()
     given = spark.sparkContext.broadcast(scorers)
     bins, low, high = 512, -4.0, 12.0
 

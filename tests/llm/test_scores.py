@@ -191,3 +191,17 @@ def test_toxicity(spark, monkeypatch):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, none).agg({"predicted": "sum"}).first()[0] == 0
     assert toxicity.toxicity(spark.createDataFrame([], SCHEMA), lab).count() == 0
+
+
+def test_toxicity_learns_in_little_of_the_drivers_memory(spark):
+    import tracemalloc
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} {'bad' if i % 3 == 0 else 'good'} text") for i in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) as toxic")
+    tracemalloc.start()
+    try:
+        toxicity.learn(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 130 << 20  # 160 MB with wide tables
