@@ -75,12 +75,11 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
-    """Hilbert key of every document from its ids."""
-    lengths = np.array([len(x) for x in ids])
-    flat = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-    bucket = ((flat * 0x9E3779B1) >> 7) & (BUCKETS - 1)
-    counts = np.bincount(np.repeat(np.arange(len(ids)) * BUCKETS, lengths) + bucket, minlength=len(ids) * BUCKETS).reshape(len(ids), BUCKETS)
+def curve_keys(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hilbert key of every document from its ids, which follow one another in flat."""
+    rows = len(lengths)
+    bucket = ((flat.astype(np.int64) * 0x9E3779B1) >> 7) & (BUCKETS - 1)
+    counts = np.bincount(np.repeat(np.arange(rows) * BUCKETS, lengths) + bucket, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
     vectors = np.sqrt(counts.astype(np.float32))
     vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-9)
     points = np.clip(np.round((vectors @ _PROJECTION + 4.0).astype(np.float64) * (1 << BITS) / 8.0), 0, (1 << BITS) - 1)
@@ -90,13 +89,15 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 def _encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _bpe.encoder(tokenizer)
-        end = np.array([END_ID], enc.dtype).tobytes()
         for batch in batches:
-            for row, stop, _buf, _offs in _text.text_slices(batch.column("text")):
-                raw = [x + end for x in enc.batch([t or "" for t in batch.column("text")[row:stop].to_pylist()])]
-                keys = curve_keys([np.frombuffer(x, enc.dtype) for x in raw])
+            for row, stop, buf, offs in _text.text_slices(batch.column("text")):
+                ids, places = enc.arrays(buf, offs)
+                ids = np.insert(ids, places[1:], END_ID)
+                lengths = np.diff(places) + 1
+                edges = np.append(0, np.cumsum(lengths)) * enc.dtype.itemsize
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - row, [None, pa.py_buffer(edges), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[row:stop], pa.array(keys), pa.array([len(x) // enc.dtype.itemsize for x in raw], pa.int64()), pa.array(raw, pa.binary()), pa.array([enc.dtype.itemsize] * len(raw), pa.int32())],
+                    [batch.column("doc_id")[row:stop], pa.array(curve_keys(ids, lengths)), pa.array(lengths, pa.int64()), raw, pa.array([enc.dtype.itemsize] * (stop - row), pa.int32())],
                     names=["doc_id", "curve_key", "doc_tokens", "ids", "width"],
                 )
 

@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -84,6 +85,56 @@ def test_proposals_are_proven_by_pairs():
     assert enc._proven(ids, np.cumsum([0, *map(len, proposals)])[:-1]).tolist() == [True, False, True]
 
 
+def test_known_pieces_are_no_python_objects():
+    """Two or more objects for each piece made most of the packing's time."""
+    rng = random.Random(11)
+    parts = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 4))) for _ in range(30)]
+    words = [a + b + c for a in parts for b in parts for c in parts]
+    enc = _bpe.Encoder(tokenizer_path())
+    enc.batch([" ".join(words[:100])])
+    before = sys.getallocatedblocks()
+    raw = enc.batch([" ".join(words[k : k + 5000]) for k in range(0, len(words), 5000)])
+    assert sys.getallocatedblocks() - before < len(set(words)) / 2
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in raw] == [library_ids(" ".join(words[k : k + 5000])) for k in range(0, len(words), 5000)]
+
+
+@pytest.mark.parametrize("entries,named", [(1 << 20, 1 << 20), (300, 1 << 20), (1 << 20, 200)])
+def test_pieces_of_every_length_and_kind(monkeypatch, entries, named):
+    """Keys end at 23 bytes; zero bytes, joined pieces and pieces too long to keep, while the cache is emptied again and again."""
+    monkeypatch.setattr(_bpe, "MAX_ENTRIES", entries)
+    monkeypatch.setattr(_bpe, "MAX_NAMED", named)
+    rng = random.Random(7)
+    kinds = ["a", "a\0", "a\0\0", "\0", "", "é", "×", "÷", "Àÿ", "漢字", "\n", "x\n", "\u0085y", "\u00a0", "\u3000z", "\x1cq", "<|endoftext|>", "<|endof", "a<|b", "a|<", "it's", "\ufffd", "😀"]
+    enc = _bpe.Encoder(tokenizer_path())
+    for _ in range(60):
+        texts = []
+        for _ in range(rng.randint(1, 12)):
+            words = [rng.choice([rng.choice(kinds), "".join(rng.choice("abé") for _ in range(rng.randint(5, 26))), rng.choice("ab漢") * rng.choice([21, 22, 23, 24, 25, 85, 256, 257])]) for _ in range(rng.randint(0, 30))]
+            texts.append(" ".join(words))
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.batch(texts)] == [library_ids(t) for t in texts]
+    assert (enc.store.n < 600) == (entries == 300 or named == 200)  # emptied only where a bound is near
+
+
+def test_store_tells_colliding_keys_apart(monkeypatch):
+    monkeypatch.setattr(_bpe.Store, "_ODD", np.array([1 << 62, 1 << 62, 1 << 62], np.uint64))
+    store = _bpe.Store(np.dtype("<u2"), 4)
+    pieces = [b"", b"\0", *(f"{k:x}".encode() for k in range(300))]
+    lengths = np.array([len(p) for p in pieces])
+    keys = store.keys_of(np.frombuffer(b"".join(pieces) + bytes(24), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    assert not store.find(keys).any()
+    added = np.concatenate([store.add(np.array([k], np.uint16), np.array([1]), [x[k : k + 1] for x in keys]) for k in range(len(pieces))])
+    assert store.find(keys).tolist() == added.tolist() == list(range(1, len(pieces) + 1))
+    assert store.flat[store.at[added]].tolist() == list(range(len(pieces)))
+
+
+def test_texts_as_arrays():
+    enc = _bpe.Encoder(tokenizer_path(), 64, 8)
+    for texts in ([t or "" for t in HARD], ["one two", "", "three  four "], [""], []):
+        raw = [t.encode() for t in texts]
+        ids, places = enc.arrays(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [library_ids(t) for t in texts]
+
+
 def test_other_files_get_whole_texts():
     import public_tokenizers
     import sentencepiece
